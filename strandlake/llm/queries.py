@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from strandlake.llm import line_dedup, media, sharding, warc
+from strandlake.llm import language_id, line_dedup, media, near_dedup, packing, sharding, warc
 
 QUERIES = {
     "op1_media_columns": media.query,
     "op2_consistent_hash_sharding": sharding.query,
     "op4_warc_boundary_chain": warc.query,
+    "op6_minhash_near_dedup": near_dedup.query,
+    "op7_language_id": language_id.query,
     "op9_line_dedup": line_dedup.query,
+    "op10_best_fit_packing": packing.query,
 }
 
 SQL = {
