@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from strandlake.llm import language_id, line_dedup, media, near_dedup, packing, sharding, warc
+from strandlake.llm import ann, language_id, line_dedup, media, near_dedup, packing, sharding, toxicity, warc
 
 QUERIES = {
     "op1_media_columns": media.query,
     "op2_consistent_hash_sharding": sharding.query,
+    "op3_collision_counting_ann": ann.query,
     "op4_warc_boundary_chain": warc.query,
+    "op5_noisy_channel_toxicity": toxicity.query,
     "op6_minhash_near_dedup": near_dedup.query,
     "op7_language_id": language_id.query,
     "op9_line_dedup": line_dedup.query,
