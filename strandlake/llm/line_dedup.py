@@ -23,10 +23,11 @@ def _key(line: Column) -> Column:
     return F.lower(F.decode(F.encode(stripped, "UTF-8"), "ISO-8859-1"))
 
 
-def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame:
+def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep: tuple[str, ...] = ()) -> DataFrame:
     """Drop, in every document, the lines whose key at least ``min_docs`` documents hold.
 
-    Returns doc_id, text (the other lines, joined by newline), n_lines, n_dropped.
+    Returns doc_id, text (the other lines, joined by newline), n_lines, n_dropped
+    and the columns that ``keep`` names.
     Lines are exploded and hashed (96 bits), distinct documents are counted for
     each hash, and documents are put together again from the positions that stay.
 
@@ -35,7 +36,7 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataF
     rows come back as often as they went in and count as one document.  Extra
     columns are ignored.  An empty table gives an empty one.
     """
-    base = pick(docs, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    base = pick(docs, "doc_id", "text", *keep).withColumn("text", F.coalesce("text", F.lit("")))
     base = base.withColumn("th", F.xxhash64("text"))
     lines = base.select("doc_id", "th", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     keyed = lines.withColumn("key", _key(F.col("line"))).where(F.length(F.btrim("line", F.lit(BLANK))) >= max(1, min_chars))
@@ -54,6 +55,7 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataF
             F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform("at", lambda i: F.get("lines", i)), "\n")).alias("text"),
             F.size("lines").cast("long").alias("n_lines"),
             (F.size("lines") - F.size("at")).cast("long").alias("n_dropped"),
+            *keep,
         )
     )
 

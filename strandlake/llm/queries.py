@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandlake.llm import ann, language_id, line_dedup, media, near_dedup, packing, sharding, toxicity, warc
+from strandlake.llm import ann, language_id, line_dedup, media, mixing, near_dedup, packing, sharding, toxicity, warc
 
 QUERIES = {
     "op1_media_columns": media.query,
@@ -12,10 +12,12 @@ QUERIES = {
     "op5_noisy_channel_toxicity": toxicity.query,
     "op6_minhash_near_dedup": near_dedup.query,
     "op7_language_id": language_id.query,
+    "op8_hierarchical_mixing": mixing.query,
     "op9_line_dedup": line_dedup.query,
     "op10_best_fit_packing": packing.query,
 }
 
 SQL = {
+    "op8_hierarchical_mixing": mixing.SQL,
     "op9_line_dedup": line_dedup.SQL,
 }
