@@ -568,3 +568,114 @@ def cv_best_round(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem")
     errors = rows.groupBy(F.col("l_linenumber").alias("round"), (F.col("l_orderkey") % 10).alias("fold")).agg(F.avg(F.when(F.col("l_returnflag") == "R", 1.0).otherwise(0.0)).alias("error"))
     return metrics.best_round(errors).select("best_round", F.round("accuracy", 9).alias("accuracy"), F.round("sd", 9).alias("sd"), "folds")
+
+
+# ---------------------------------------------------------------- sequential and learned stages (no SQL form; tested against unit cases)
+
+
+def _rows(spark, chosen: motifs.Selection) -> DataFrame:
+    return spark.createDataFrame(chosen.rows(), "class string, pick_rank int, kmer string")
+
+
+@query("select_motifs_case2")
+def select_motifs_case2(spark, sf_dir):
+    seqs = sequences(spark, sf_dir)
+    profiles = motifs.cluster_profiles(seqs.join(labelled(spark, sf_dir).select("seq_id", "cluster"), "seq_id"), 4).cache()
+    return _rows(spark, motifs.select_motifs(profiles, clusters.summary(labelled(spark, sf_dir)), 12, n_classes=4))
+
+
+@query("select_motifs_case3")
+def select_motifs_case3(spark, sf_dir):
+    profiles = lang_profiles(spark, sf_dir, 4).cache()
+    return _rows(spark, motifs.select_motifs(profiles, own_class(profiles), 64))
+
+
+@query("segment_clusters_full")
+def segment_clusters_full(spark, sf_dir):
+    """The full segmentation of each user's ordered events, one user a group."""
+    from strandlake.operators.segment import assignment
+
+    def run(group):
+        group = group.sort_values("place")
+        return group.assign(cluster=assignment(group["class"].tolist(), 0.7, 3))[["user_id", "place", "class", "cluster"]]
+
+    return event_runs(spark, sf_dir).groupBy("user_id").applyInPandas(run, "user_id long, place long, class string, cluster int")
+
+
+def _bounded_vectors(spark, sf_dir) -> DataFrame:
+    """embeddings as (seq_id, class, counts), down to the row limit that quadratic stages have."""
+    from strandlake.operators.linkage import MOST
+    from strandlake.plans.pipeline import bounded_sample
+
+    rows = vectors(spark, sf_dir).select(F.col("id").alias("seq_id"), "class", F.col("x").alias("counts"))
+    return bounded_sample(rows, MOST, 123)
+
+
+@query("hclust_order")
+def hclust_order(spark, sf_dir):
+    from strandlake.plans.pipeline import by_dendrogram
+
+    rows, tree = by_dendrogram(spark, _bounded_vectors(spark, sf_dir), 0.8)
+    return rows
+
+
+@query("ap_exemplars")
+def ap_exemplars(spark, sf_dir):
+    from strandlake.operators import ap
+
+    return ap.per_class(_bounded_vectors(spark, sf_dir).select(F.col("seq_id").alias("id"), "class", F.col("counts").alias("x")))
+
+
+@query("ap_two_stage")
+def ap_two_stage(spark, sf_dir):
+    from strandlake.operators import ap
+
+    return ap.two_stage(_bounded_vectors(spark, sf_dir).select(F.col("seq_id").alias("id"), "class", F.col("counts").alias("x")))
+
+
+def _model(spark, sf_dir, method: str):
+    """A model of the languages on all 3-mer counts."""
+    from strandlake.operators import ml
+
+    seqs = sequences(spark, sf_dir)
+    parts = split.select_train_test(seqs, 60, 200, seed=7)
+    names = K.all_kmers(k=3)
+
+    def features(rows):
+        return ml.motif_features(K.count_arrays(rows, 3), names, names)[0]
+
+    train_rows = features(parts.train)
+    return ml.train(train_rows, features(parts.test), names, method, cv_folds=0, rounds=5, trees=20), train_rows
+
+
+@query("rf_fit_predict")
+def rf_fit_predict(spark, sf_dir):
+    return _model(spark, sf_dir, "rf")[0].predictions
+
+
+@query("gbt_fit_predict")
+def gbt_fit_predict(spark, sf_dir):
+    return _model(spark, sf_dir, "xgb")[0].predictions
+
+
+@query("feature_importance")
+def feature_importance(spark, sf_dir):
+    from strandlake.operators import explain
+
+    return explain.feature_importance(spark, _model(spark, sf_dir, "xgb")[0])
+
+
+@query("shap_values")
+def shap_values(spark, sf_dir):
+    from strandlake.operators import explain
+
+    trained, rows = _model(spark, sf_dir, "rf")
+    return explain.shap_values(trained, rows)
+
+
+@query("pipeline_end_to_end")
+def pipeline_end_to_end(spark, sf_dir):
+    from strandlake.plans.pipeline import classify
+
+    out = classify(spark, sequences(spark, sf_dir), k=3, n_motifs=32, seq_per_class=60, min_size=200, cv_folds=0, ml_method="rf", importance=False)
+    return out.trained.predictions
