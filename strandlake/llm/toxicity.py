@@ -224,16 +224,17 @@ class Classifier:
     bias: float
 
 
-def _fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, steps: int = 12) -> tuple[np.ndarray, float]:
-    """Ridge-penalised logistic regression by Newton steps; the bias is not penalised."""
+def _fit_logistic(x: np.ndarray, negative: np.ndarray, positive: np.ndarray, penalty: float = 1.0, steps: int = 12) -> tuple[np.ndarray, float]:
+    """Ridge-penalised logistic regression by Newton steps, from how many rows of either label have each pattern of features (rows of x); the bias is not penalised."""
     x = np.c_[x, np.ones(len(x))]
+    n = negative + positive
     w = np.zeros(x.shape[1])
     ridge = np.full(x.shape[1], penalty)
     ridge[-1] = 1e-6
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge)
-        w = w - np.linalg.solve(h, x.T @ (p - y) + ridge * w)
+        h = x.T @ (x * (n * p * (1 - p))[:, None]) + np.diag(ridge)
+        w = w - np.linalg.solve(h, x.T @ (n * p - positive) + ridge * w)
     return w[:-1], float(w[-1])
 
 
@@ -253,26 +254,31 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = 5) -> Classifier:
     positive = rows.where("toxic = 1")
     tell = positive.mapInArrow(partial(_count_batches, model=language), "feature string, pos long").groupBy("feature").agg(F.sum("pos").alias("pos")).where(F.col("pos") >= SUPPORT)
     common = {r[0]: i for i, r in enumerate(tell.orderBy(F.desc("pos"), "feature").limit(40 * FEATURES).collect())}
-    got = rows.mapInArrow(partial(_match_batches, model=language, names=common), "toxic int, at array<int>").toPandas() if common else None
-    if got is None or not 0 < (y := got["toxic"].to_numpy(np.float64)).sum() < len(y):
-        return Classifier(language, {}, np.zeros(0), -30.0 if got is None or not y.sum() else 30.0)
+    # rows with the same features are one pattern with two counts
+    got = rows.mapInArrow(partial(_match_batches, model=language, names=common), "toxic int, at array<int>") if common else rows.select("toxic", F.array().cast("array<int>").alias("at"))
+    patterns = sorted((tuple(r["at"]), r["neg"], r["pos"]) for r in got.groupBy("at").agg(F.count_if(F.col("toxic") == 0).alias("neg"), F.count_if(F.col("toxic") == 1).alias("pos")).toLocalIterator())
+    count = np.array([p[1:] for p in patterns], np.float64).reshape(-1, 2).T
+    total = count.sum(axis=1)
+    if not common or not total.all():
+        return Classifier(language, {}, np.zeros(0), 30.0 if total[1] and not total[0] else -30.0)
     seen = np.zeros((2, len(common)))
-    for at, label in zip(got["at"], got["toxic"]):
-        seen[label, at] += 1
-    total = np.array([(y == 0).sum(), y.sum()])
-    # signed root of the likelihood ratio: how sure a feature is of label 1
+    for (at, *_), n in zip(patterns, count.T):
+        seen[:, list(at)] += n[:, None]
+    # the gain in likelihood from a feature that speaks for label 1
     rate = (seen + 0.5) / (total[:, None] + 1)
     gain = np.where(rate[1] > rate[0], seen[1] * np.log(rate[1] / rate[0]) + (total[1] - seen[1]) * np.log((1 - rate[1]) / (1 - rate[0])), 0)
     names = list(common)
     use = [i for i in np.lexsort((names, -gain))[:FEATURES] if gain[i] > 3 and rate[1][i] > 4 * rate[0][i]]
-    place = np.full(len(names), -1)
-    place[use] = np.arange(len(use))
-    x = np.zeros((len(y), len(use)))
-    for r, at in enumerate(got["at"]):
-        at = place[at]
-        x[r, at[at >= 0]] = 1
-    order = np.lexsort((*x.T[:8], y)) if len(use) else np.arange(len(y))
-    w, b = _fit_logistic(x[order], y[order])
+    place = {i: k for k, i in enumerate(use)}
+    merged: dict[tuple, np.ndarray] = {}
+    for (at, *_), n in zip(patterns, count.T):
+        short = tuple(place[i] for i in at if i in place)
+        merged[short] = merged.get(short, 0) + n
+    x = np.zeros((len(merged), len(use)))
+    for r, short in enumerate(sorted(merged)):
+        x[r, list(short)] = 1
+    both = np.array([merged[short] for short in sorted(merged)]).T
+    w, b = _fit_logistic(x, both[0], both[1])
     return Classifier(language, {names[i]: k for k, i in enumerate(use)}, w, b)
 
 
