@@ -1,0 +1,62 @@
+import random
+import zlib
+
+import numpy as np
+import pytest
+
+from strandlake.llm import language_id as lid
+from tests.llm.conftest import EDGES
+
+SYLLABLES = {"en": "th er on an re he in ed nd ha", "de": "en er ch ei un ie sch ge be ung", "fr": "es le en re ou ai eau ment que", "es": "de os la as cion ar el ado ez", "xx": "zuq kij wob pyx"}
+
+
+def text(rng, lang, n=60):
+    s = SYLLABLES[lang].split()
+    return " ".join("".join(rng.choice(s) for _ in range(rng.randrange(1, 4))) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def model(spark):
+    rng = random.Random(2)
+    rows = [(i, text(rng, lang), lang) for i, lang in enumerate(list(SYLLABLES) * 40)]
+    rows += [(-1, "no label", None), (-2, None, "en")]
+    return lid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+
+
+def test_pairs_are_families_first(model):
+    assert set(model.langs) == set(SYLLABLES)
+    names = {p for p in model.pairs}
+    assert ("/germanic", "/romance") in names and ("de", "en") in names and ("es", "fr") in names and ("de", "fr") not in names
+
+
+def test_new_texts(spark, model):
+    rng = random.Random(5)
+    rows = [(i, text(rng, lang, 30), lang) for i, lang in enumerate(list(SYLLABLES) * 20)]
+    got = lid.predict(spark.createDataFrame(rows, "doc_id long, text string, lang string"), model).collect()
+    assert np.mean([r["lang"] == r["lang_pred"] for r in got]) > 0.97 and all(0 <= r["score"] <= 1 for r in got)
+
+
+def test_texts_without_letters(spark, model):
+    rows = [(i or -1, t) for i, t in EDGES]
+    got = lid.predict(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()
+    for r in got:
+        none = not any(c.isalpha() for c in r["text"] or "")
+        assert (r["lang_pred"] == "und") == none and (not none or r["score"] == 0)
+
+
+def test_no_rows_and_one_language(spark):
+    empty = spark.createDataFrame([], "doc_id long, text string, lang string")
+    model = lid.fit(empty)
+    assert model.langs == () and lid.predict(empty.select("doc_id", "text"), model).collect() == []
+    one = lid.fit(spark.createDataFrame([(1, "abc def", "en")], "doc_id long, text string, lang string"))
+    assert [(r["lang_pred"], r["score"]) for r in lid.predict(spark.createDataFrame([(1, "xyz")], "doc_id long, text string"), one).collect()] == [("en", 1.0)]
+
+
+def test_held_out_accuracy_on_the_given_table(spark):
+    sf = "/root/testdata/sf0.01"
+    truth = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = lid.query(spark, sf).collect()
+    assert len(got) == len(truth)
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in got)
+    held = [r for r in got if r["held_out"]]
+    assert np.mean([truth[r["doc_id"]] == r["lang_pred"] for r in held]) >= 0.97
