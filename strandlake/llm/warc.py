@@ -160,7 +160,7 @@ def reachable(cand: DataFrame) -> DataFrame:
         if found == n:
             break
         seen, n = both, found
-        jump = cut(jump.join(stride, ["file", "exit"], "left").select("file", "block", "at", F.col("e2").alias("exit")).where(F.col("exit").isNotNull()), "warc-exits")
+        jump = cut(jump.join(stride, ["file", "exit"], "left").select("file", "block", "at", F.col("e2").alias("exit")), "warc-exits")
         seen = seen.drop("exit").join(jump.select("file", "at", "exit"), ["file", "at"], "left").select("file", "block", "at", "exit")
     return narrow.groupBy("file", "block").cogroup(seen.groupBy("file", "block")).applyInPandas(_reached, "file string, block long, at long, to long")
 
