@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -90,10 +88,14 @@ def _reached(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
 
 
 def _segments(spark: SparkSession, path: str) -> DataFrame:
-    """The files cut at every occurrence of the magic, in order: file, block (a split's first byte), block_length, n (order), value (what follows the magic)."""
+    """The files cut at every occurrence of the magic, in order: file, block (a split's first byte), n (order), value (what follows the magic).
+
+    file is the hash of the path: a column of paths would compress so well in
+    Parquet that the planner would take large tables for small ones.
+    """
     df = spark.read.option("lineSep", MAGIC).text(path)
     meta = F.col("_metadata")
-    return df.select(meta["file_path"].alias("file"), meta["file_block_start"].alias("block"), meta["file_block_length"].alias("block_length"), F.monotonically_increasing_id().alias("n"), "value")
+    return df.select(F.xxhash64(meta["file_path"]).alias("file"), meta["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("n"), "value")
 
 
 def _header(value: Column, name: str) -> Column:
@@ -148,7 +150,7 @@ def reachable(cand: DataFrame) -> DataFrame:
     no such chain and fall out.
     """
     narrow = cand.where(F.col("at") >= 0).select("file", "block", "at", "to", "block_end")
-    where = narrow.groupBy("file", "block").applyInPandas(_exits, "file string, block long, at long, exit long")
+    where = narrow.groupBy("file", "block").applyInPandas(_exits, "file long, block long, at long, exit long")
     jump = cut(where, "warc-exits")
     seen = cut(jump.where(F.col("at") == 0), "warc-entries")
     n = seen.count()
@@ -162,7 +164,7 @@ def reachable(cand: DataFrame) -> DataFrame:
         seen, n = both, found
         jump = cut(jump.join(stride, ["file", "exit"], "left").select("file", "block", "at", F.col("e2").alias("exit")), "warc-exits")
         seen = seen.drop("exit").join(jump.select("file", "at", "exit"), ["file", "at"], "left").select("file", "block", "at", "exit")
-    return narrow.groupBy("file", "block").cogroup(seen.groupBy("file", "block")).applyInPandas(_reached, "file string, block long, at long, to long")
+    return narrow.groupBy("file", "block").cogroup(seen.groupBy("file", "block")).applyInPandas(_reached, "file long, block long, at long, to long")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
