@@ -64,14 +64,14 @@ def sum_of_squares(lengths: np.ndarray, size: int) -> np.ndarray:
     used = 0
     where = np.empty(len(lengths), np.int64)
     for i, n in enumerate(lengths.tolist()):
-        # change of the sum, halved: taking a bin from gap g and putting it at gap g - n; index 0 is g = n, a bin that closes
+        # how the sum changes if a bin of gap g + n gets gap g; at g = 0 the bin closes and counts no more
         before = count[n:]
-        change = count[: size - n + 1] - before + 1
+        change = 2 * (count[: size - n + 1] - before + 1)
         change[0] -= 1
         change[before == 0] = 1 << 60
         g = int(change.argmin())
         best = int(change[g])
-        if n == size or best > count[size - n] or best >= 1 << 60:
+        if n == size or best > 2 * count[size - n] + 1 or best >= 1 << 60:
             place, gap = used, size - n
             used += 1
         else:
