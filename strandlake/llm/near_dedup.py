@@ -18,10 +18,10 @@ from strandlake.llm._text import mix, shingle_sets, slices
 
 #: Signature rows of a band, and the most likely miss of a pair at exactly the threshold.
 BAND_ROWS, MISS = 6, 1e-6
-#: Documents of a large group that one verification task holds from either side.
-CHUNK = 256
-#: Bytes of shingle sets that one task of small groups holds, about.
-TASK_BYTES = 16 << 20
+#: Documents of a large group, and bytes of their sets, that one verification task holds from either side, about.
+CHUNK, CHUNK_BYTES = 256, 4 << 20
+#: Bytes of sets that one task of small groups holds, about.
+TASK_BYTES = 2 << 20
 #: Shingles whose ranks are drawn at once.
 _AT_ONCE = 1 << 16
 #: Levels after which the few shingles left get whole permutations.
@@ -232,12 +232,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     hubs = key.groupBy("band").agg(F.min("node").alias("u"), F.max("node").alias("top")).where("u < top").select("band", "u")
     edges = cut(key.join(hubs, "band").select("u", F.col("node").alias("v")).where("u <> v").distinct(), "candidates")
     groups = cut(components(edges).select("node", F.col("component").alias("grp")), "groups")
-    sizes = cut(groups.groupBy("grp").count().where(F.col("count") > CHUNK), "large-groups")
-    member = groups.join(small_or_shuffled(sizes, 24), "grp", "left")
-    chunks = F.ceil(F.coalesce("count", F.lit(1)) / CHUNK).cast("int")
-    member = member.select("node", "grp", chunks.alias("chunks"), F.pmod(F.xxhash64("node"), chunks).cast("int").alias("chunk"))
-    total = classes.join(groups, "node", "left_semi").agg(F.sum("n")).first()[0] or 0
-    tasks = max(1, math.ceil(8 * total / TASK_BYTES))
+    sized = cut(groups.join(classes.select("node", "n"), "node"), "sized-groups")
+    parts = F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("n") * 8 / CHUNK_BYTES)).cast("int")
+    large = cut(sized.groupBy("grp").agg(parts.alias("chunks")).where("chunks > 1"), "large-groups")
+    chunks = F.coalesce("chunks", F.lit(1))
+    member = sized.join(small_or_shuffled(large, 24), "grp", "left").select("node", "grp", chunks.alias("chunks"), F.pmod(F.xxhash64("node"), chunks).cast("int").alias("chunk"))
+    tasks = max(1, math.ceil(8 * (sized.agg(F.sum("n")).first()[0] or 0) / TASK_BYTES))
     # a group of one chunk shares a task with others; a larger one has a task for each two chunks
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
     spread = member.select("node", "grp", "chunks", "chunk", other.alias("other"))
