@@ -101,11 +101,12 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndar
     full = w.copy()
     ok = np.ones(len(w), bool)
     for t in range(1, k):
+        n = max(0, len(w) - t)
         nxt = np.zeros_like(w)
-        nxt[: len(w) - t] = w[t:]
+        nxt[:n] = w[t:]
         full = mix(full * np.uint64(0xA24BAED4963EE407) + nxt)
-        ok[max(0, len(w) - t) :] = False
-        ok[: max(0, len(w) - t)] &= doc[t:] == doc[: len(w) - t]
+        ok[n:] = False
+        ok[:n] &= doc[t:] == doc[:n]
     size = np.diff(bounds)
     for d in np.flatnonzero((size > 0) & (size < k)):
         h = np.array([size[d]], np.uint64)
