@@ -72,6 +72,9 @@ def test_sets_equal_plain_ones():
     for k in (1, 3, 5):
         sizes = np.concatenate([np.diff(b) for _, d, o in slices(pa.array(texts)) for _, b in [shingle_sets(d, o, k)]])
         assert sizes.tolist() == [len(shingles(t, k)) for t in texts]
+        for t in texts:  # one text a slice
+            (sizes,) = [np.diff(b) for _, d, o in slices(pa.array([t], pa.string())) for _, b in [shingle_sets(d, o, k)]]
+            assert sizes.tolist() == [len(shingles(t, k))]
 
 
 @pytest.mark.parametrize("n,share", [(300, 0.85), (30, 0.5)])
