@@ -202,3 +202,13 @@ def query(spark, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "warc")
     write(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
     return read(spark, path)
+
+
+_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+_BASE32 = " || ".join(f"substr('{_LETTERS}', (((('0x' || substr(h, {5 * i + 1}, 5))::BIGINT >> {shift}) & 31) + 1)::BIGINT, 1)" for i in range(8) for shift in (15, 10, 5, 0))
+SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last FROM pages)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes, {_BASE32} AS payload_digest,
+       CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to
+FROM p
+"""
