@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm._store import pick
+from strandlake.llm._store import cut, pick
 from strandlake.llm._text import slices
 
 #: The most labelled rows that the classifier is fitted on, and the most features it has.
@@ -250,36 +250,36 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = 5) -> Classifier:
     marks = pick(labels, "doc_id", "toxic").where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     unit = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 32)) / float(1 << 32)
     n = marks.count()
-    rows = docs.join(marks.where(unit < min(1.0, TRAIN_ROWS / max(1, n))), "doc_id").select("text", "toxic").repartition(16)
+    rows = docs.join(marks.where(unit < min(1.0, TRAIN_ROWS / max(1, n))), "doc_id").select("text", "toxic")
+    rows = cut(rows, "labelled-texts").repartition(16)
     positive = rows.where("toxic = 1")
     tell = positive.mapInArrow(partial(_count_batches, model=language), "feature string, pos long").groupBy("feature").agg(F.sum("pos").alias("pos")).where(F.col("pos") >= SUPPORT)
     common = {r[0]: i for i, r in enumerate(tell.orderBy(F.desc("pos"), "feature").limit(40 * FEATURES).collect())}
-    # rows with the same features are one pattern with two counts
-    got = rows.mapInArrow(partial(_match_batches, model=language, names=common), "toxic int, at array<int>") if common else rows.select("toxic", F.array().cast("array<int>").alias("at"))
-    patterns = sorted((tuple(r["at"]), r["neg"], r["pos"]) for r in got.groupBy("at").agg(F.count_if(F.col("toxic") == 0).alias("neg"), F.count_if(F.col("toxic") == 1).alias("pos")).toLocalIterator())
-    count = np.array([p[1:] for p in patterns], np.float64).reshape(-1, 2).T
-    total = count.sum(axis=1)
+    total = np.array(rows.agg(F.count_if(F.col("toxic") == 0), F.count_if(F.col("toxic") == 1)).first(), np.float64)
     if not common or not total.all():
         return Classifier(language, {}, np.zeros(0), 30.0 if total[1] and not total[0] else -30.0)
+
+    def matched(names: dict[str, int]) -> DataFrame:
+        return rows.mapInArrow(partial(_match_batches, model=language, names=names), "toxic int, at array<int>")
+
     seen = np.zeros((2, len(common)))
-    for (at, *_), n in zip(patterns, count.T):
-        seen[:, list(at)] += n[:, None]
+    for label, i, n in matched(common).select("toxic", F.explode("at").alias("i")).groupBy("toxic", "i").count().collect():
+        seen[label, i] = n
     # the gain in likelihood from a feature that speaks for label 1
     rate = (seen + 0.5) / (total[:, None] + 1)
     gain = np.where(rate[1] > rate[0], seen[1] * np.log(rate[1] / rate[0]) + (total[1] - seen[1]) * np.log((1 - rate[1]) / (1 - rate[0])), 0)
     names = list(common)
     use = [i for i in np.lexsort((names, -gain))[:FEATURES] if gain[i] > 3 and rate[1][i] > 4 * rate[0][i]]
-    place = {i: k for k, i in enumerate(use)}
-    merged: dict[tuple, np.ndarray] = {}
-    for (at, *_), n in zip(patterns, count.T):
-        short = tuple(place[i] for i in at if i in place)
-        merged[short] = merged.get(short, 0) + n
-    x = np.zeros((len(merged), len(use)))
-    for r, short in enumerate(sorted(merged)):
-        x[r, list(short)] = 1
-    both = np.array([merged[short] for short in sorted(merged)]).T
+    wanted = {names[i]: k for k, i in enumerate(use)}
+    # rows with the same features are one pattern with two counts; most rows have none
+    counted = matched(wanted).groupBy("at").agg(F.count_if(F.col("toxic") == 0).alias("neg"), F.count_if(F.col("toxic") == 1).alias("pos"))
+    patterns = sorted((tuple(r["at"]), r["neg"], r["pos"]) for r in counted.collect())
+    x = np.zeros((len(patterns), len(use)))
+    for r, (at, *_) in enumerate(patterns):
+        x[r, list(at)] = 1
+    both = np.array([p[1:] for p in patterns], np.float64).T
     w, b = _fit_logistic(x, both[0], both[1])
-    return Classifier(language, {names[i]: k for k, i in enumerate(use)}, w, b)
+    return Classifier(language, wanted, w, b)
 
 
 #: The reader of the scoring job that this worker process last worked for, by the job's key.
