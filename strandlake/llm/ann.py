@@ -50,7 +50,7 @@ class Index:
         self.order = order.astype(np.int32)
 
     def search(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, distances) of the k nearest found, ties to the smaller id; rows whose id is own take no part.
+        """(places, distances) of the k nearest found, ties to the smaller id; rows whose id is own take no part.
 
         Windows around the query's projections widen round by round (virtual
         rehashing) and count collisions of the entries that they newly cover.
@@ -90,7 +90,7 @@ class Index:
             width *= WIDEN
         best = np.flatnonzero(np.isfinite(distance))
         best = best[np.lexsort((self.ids[best], distance[best]))][:k]
-        return self.ids[best], distance[best]
+        return best, distance[best]
 
     def _distances(self, rows: np.ndarray, query: np.ndarray) -> np.ndarray:
         return np.sqrt(((self.x[rows] - query) ** 2).sum(axis=1))
@@ -105,18 +105,20 @@ class Index:
         return max(float(np.median(spans)) / 2, 1e-6 * float(np.abs(self.sorted).max()), 1e-300)
 
 
-_FOUND = "query_id long, vec_id long, score double"
+_FOUND = "query_id long, row long, vec_id long, score double"
 
 
 def _search_block(left: pd.DataFrame, right: pd.DataFrame, k: int) -> pd.DataFrame:
     """The k nearest of a block's rows (left) for each query of a block (right)."""
-    out = {"query_id": [], "vec_id": [], "score": []}
+    out = {"query_id": [], "row": [], "vec_id": [], "score": []}
     if len(left) and len(right):
         index = Index(left["vec_id"].to_numpy(), np.stack(left["embedding"].to_numpy()).astype(np.float64))
+        rows = left["row"].to_numpy()
         for own, query in zip(right["vec_id"], right["embedding"]):
-            ids, distance = index.search(np.asarray(query, np.float64), own, k)
-            out["query_id"].append(np.full(len(ids), own))
-            out["vec_id"].append(ids)
+            places, distance = index.search(np.asarray(query, np.float64), own, k)
+            out["query_id"].append(np.full(len(places), own))
+            out["row"].append(rows[places])
+            out["vec_id"].append(index.ids[places])
             out["score"].append(distance)
     made = {c: np.concatenate(v) if v else np.zeros(0, np.float64 if c == "score" else np.int64) for c, v in out.items()}
     return pd.DataFrame(made)
@@ -131,22 +133,26 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
     Vectors that are null, empty, zero or hold a null or non-finite component
     take no part, nor do rows with a null vec_id. Only vectors of equal length
     are compared. A query's own vec_id is no candidate, however often it occurs;
-    other repeated rows count once each. Extra columns are ignored.
+    other repeated rows count once each. Repeated rows of a query ask once. Where
+    a query's vec_id has several vectors, all of them ask, and a row's score is its
+    distance to the nearest of them. Extra columns are ignored.
     """
     x = F.col("embedding")
     fine = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(x, lambda v: v != 0)
     rows = pick(vectors, "vec_id", "embedding").select("vec_id", x.cast("array<double>").alias("embedding")).where(fine & F.col("vec_id").isNotNull())
     rows = cut(rows.withColumn("dim", F.size("embedding")), "vectors")
     is_query = F.pmod("vec_id", F.lit(every)) == 0
-    n, q = rows.agg(F.count("*"), F.count_if(is_query)).first()
+    asked = cut(rows.where(is_query).distinct(), "queries")
+    n, q = rows.count(), asked.count()
     blocks, query_blocks = max(1, math.ceil(n / BLOCK)), max(1, math.ceil(q / QUERY_BLOCK))
     row = F.monotonically_increasing_id()
     base = rows.withColumn("row", row).withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks))).withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    asked = rows.where(is_query).withColumn("row", row).withColumn("query_block", F.pmod(F.xxhash64("row"), F.lit(query_blocks)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    asked = asked.withColumn("query_block", F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(query_blocks)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     keys = ["dim", "block", "query_block"]
-    found = base.drop("row").groupBy(*keys).cogroup(asked.drop("row").groupBy(*keys)).applyInPandas(partial(_search_block, k=k), _FOUND)
-    # repeated rows of a query ask the same and are answered once
-    best = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
+    found = base.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(partial(_search_block, k=k), _FOUND)
+    # a row that several vectors of a query found counts once
+    found = found.groupBy("query_id", "row", "vec_id").agg(F.min("score").alias("score"))
+    best = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id", "row")))
     return best.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

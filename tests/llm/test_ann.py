@@ -55,5 +55,19 @@ def test_ties_and_copies(spark):
     assert {s for _, _, s in got[0]} == {0.0}
 
 
+@pytest.mark.parametrize("block", [1 << 14, 7])
+def test_repeated_queries(spark, monkeypatch, block):
+    """A query of ten equal rows has ten different neighbours; one of two vectors has those nearest to either."""
+    monkeypatch.setattr(ann, "BLOCK", block)
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 2)
+    rows = [(0, [0.0, 1.0])] * 10 + [(100, [50.0, 1.0]), (100, [80.0, 1.0])] + [(i, [float(i), 1.0]) for i in range(1, 60)]
+    got = {}
+    for q, r, v, s in sorted(tuple(r) for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=100).collect()):
+        got.setdefault(q, []).append((r, v, s))
+    assert got[0] == [(i, i, float(i)) for i in range(1, 11)]
+    near = sorted((min(abs(p - 50.0), abs(p - 80.0)), v) for v, p in [(i, float(i)) for i in range(1, 60)])[:10]
+    assert got[100] == [(k, v, d) for k, (d, v) in enumerate(near, 1)]
+
+
 def test_empty_table(spark):
     assert ann.search(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
