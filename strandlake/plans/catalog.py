@@ -205,6 +205,15 @@ def word_graph_missing_vertices(spark, sf_dir):
     return graph.missing_vertices(graph.word_edges(seqs, 5, step=40), K.vocabulary(spark, k=5))
 
 
+@query(
+    "word_graph_missing_vertices_all",
+    f"WITH {_SEQS}, {_vocab(5)}, e AS (SELECT substr(seq, i::BIGINT, 5) AS src, substr(seq, i::BIGINT + 5, 5) AS dst FROM (SELECT seq, unnest(range(1, length(seq) - 8, 1)) AS i FROM seqs WHERE length(seq) >= 10)) SELECT kmer FROM vocab WHERE kmer NOT IN (SELECT src FROM e UNION SELECT dst FROM e)",
+)
+def word_graph_missing_vertices_all(spark, sf_dir):
+    """The 5-mers that no window of any document holds."""
+    return graph.missing_vertices(graph.word_edges(sequences(spark, sf_dir), 5), K.vocabulary(spark, k=5))
+
+
 # ---------------------------------------------------------------- splits
 
 

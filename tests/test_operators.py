@@ -8,6 +8,7 @@ import pytest
 from strandlake.functions import describe
 from strandlake.functions.kmers import all_kmers
 from strandlake.operators import analysis, ap, clusters, distance, explain, graph, linkage, metrics, ml, motifs, search, segment, split
+from strandlake.plans import catalog
 from strandlake.plans.pipeline import classify
 
 # ------------------------------------------------------------- clusters
@@ -227,6 +228,16 @@ def test_word_graph(spark):
     assert [r["kmer"] for r in graph.missing_vertices(edges, vertices).collect()] == ["AA"] and graph.adjacency(edges).count() == 3
 
 
+def test_missing_vertices_of_all_documents(spark, tmp_path):
+    """A 5-mer of another language, and one off the stride, are not missing."""
+    rows = [(1, "es", "a" * 40 + "bcdab" + "a" * 40), (2, "en", "b" * 12), (3, None, "c" * 12)]
+    spark.createDataFrame(rows, "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    missing = {r["kmer"] for r in catalog.QUERIES["word_graph_missing_vertices_all"](spark, str(tmp_path)).collect()}
+    seqs = [r["seq"] for r in catalog.sequences(spark, str(tmp_path)).collect()]
+    seen = {s[i : i + 5] for s in seqs for i in range(len(s) - 4)}
+    assert {"CCCCC", "GGGGG", "ACGTA"} <= seen and missing == {k for k in all_kmers("ACGT", 5) if k not in seen}
+
+
 # ------------------------------------------------------------- split and measures
 
 
