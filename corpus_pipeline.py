@@ -20,6 +20,11 @@ MIN_LANGUAGE_SCORE = 0.05
 MIX_SHARE = 0.8
 
 
+def _numbered(docs: DataFrame, tag: str) -> DataFrame:
+    """The documents' columns with a number for each row, ``at``: rows may share a doc_id, or have none."""
+    return cut(pick(docs, *COLUMNS).withColumn("at", F.monotonically_increasing_id()), tag)
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a recognised language stay: those without a letter, or with no sure prediction at all, go."""
     docs = pick(docs, *COLUMNS)
@@ -35,17 +40,20 @@ def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five words, similarity 0.8) stays; rows that repeat a doc_id stay together."""
-    docs = pick(docs, *COLUMNS)
-    gone = near_dedup.near_duplicates(docs, shingle=5, percent=80).where(~F.col("kept")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """One row of each group of near-duplicates (five words, similarity 0.8) stays, that of the smallest doc_id. Rows that share a doc_id are told apart; those without one all stay."""
+    docs = _numbered(docs, "near-rows")
+    named = docs.where("doc_id is not null")
+    groups = near_dedup.near_duplicates(named.select(F.col("at").alias("doc_id"), "text"), shingle=5, percent=80).select(F.col("doc_id").alias("at"), "component_id")
+    first = named.select("at", "doc_id").join(groups, "at").groupBy("component_id").agg(F.min(F.struct("doc_id", "at")).alias("first"))
+    kept = first.select(F.col("first.at").alias("at"), F.lit(True).alias("kept"))
+    return docs.join(kept, "at", "left").where("kept or doc_id is null").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the weighted mixture of domains, languages and sources takes, each once."""
-    docs = pick(docs, *COLUMNS)
-    taken = mixing.mix(docs, target=MIX_SHARE, epochs=1).select("doc_id").distinct()
-    return docs.join(taken, "doc_id", "left_semi").select(*COLUMNS)
+    """The rows that the weighted mixture of domains, languages and sources takes, each once."""
+    docs = _numbered(docs, "mix-docs")
+    taken = mixing.mix(docs, target=MIX_SHARE, epochs=1, keep=("at",)).select("at")
+    return docs.join(taken, "at", "left_semi").select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -82,7 +82,7 @@ def budgets(leaves: DataFrame, target: int, weights: dict[str, dict[str, int]] |
     return leaves.join(out, list(TREE)).select(*TREE, "tokens", "cap", "budget")
 
 
-def mix(docs: DataFrame, target: float = 0.5, epochs: int = 2, seed: int = 3, weights: dict[str, dict[str, int]] | None = None) -> DataFrame:
+def mix(docs: DataFrame, target: float = 0.5, epochs: int = 2, seed: int = 3, weights: dict[str, dict[str, int]] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """Select documents so that tokens follow the tree's weights.
 
     ``target`` is a share of all tokens in docs, ``epochs`` how often a document
@@ -94,14 +94,15 @@ def mix(docs: DataFrame, target: float = 0.5, epochs: int = 2, seed: int = 3, we
     Returns row (its number), doc_id, domain, lang, source, n_tokens, copies (at
     least 1). A null lang or source is a branch of its own, named ``?``. Documents
     without tokens are never taken. Repeated rows are taken apart from each other;
-    ties of the seeded hash go by row. Extra columns are ignored. An empty table,
-    or a target of 0, selects nothing.
+    ties of the seeded hash go by row. Columns named in ``keep`` are returned as
+    well, other extra columns are ignored. An empty table, or a target of 0,
+    selects nothing.
     """
     spark = docs.sparkSession
     weights = {"domain": DOMAIN_WEIGHTS} if weights is None else weights
-    rows = pick(docs, "doc_id", "text", "lang", "source")
+    rows = pick(docs, "doc_id", "text", "lang", "source", *keep)
     rows = rows.select(
-        "doc_id", domain_of(F.col("source")).alias("domain"), F.coalesce("lang", F.lit("?")).alias("lang"), F.coalesce("source", F.lit("?")).alias("source"), token_count(F.col("text")).alias("n_tokens"),
+        "doc_id", *keep, domain_of(F.col("source")).alias("domain"), F.coalesce("lang", F.lit("?")).alias("lang"), F.coalesce("source", F.lit("?")).alias("source"), token_count(F.col("text")).alias("n_tokens"),
         F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("?")), F.substring(F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8")), 1, 8)).alias("name"),
     ).where("n_tokens > 0")
     rows = cut(rows, "mix-rows").withColumn("row", F.monotonically_increasing_id())
@@ -125,7 +126,7 @@ def mix(docs: DataFrame, target: float = 0.5, epochs: int = 2, seed: int = 3, we
     at_cut = at_cut.withColumn("extra", (run < F.col("left")).cast("int"))
     out = marked.where("below or not reached").withColumn("extra", F.col("below").cast("int")).unionByName(at_cut)
     copies = (F.col("whole") + F.col("extra")).cast("int")
-    return out.select("row", "doc_id", *TREE, "n_tokens", copies.alias("copies")).where("copies > 0")
+    return out.select("row", "doc_id", *keep, *TREE, "n_tokens", copies.alias("copies")).where("copies > 0")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -86,6 +86,26 @@ def test_run_writes_and_rereads(spark, tmp_path, corpus, kept):
     assert sorted((r["doc_id"], r["piece"], r["ids_crc32"]) for r in got.collect()) == sorted((r["doc_id"], r["piece"], r["ids_crc32"]) for r in kept[1])
 
 
+def test_near_duplicates_are_told_apart_by_row(spark):
+    """A unique text stays though its doc_id has a near-duplicate as well; equal rows stay once; rows without doc_id stay."""
+    words = [f"w{i}" for i in range(60)]
+    first, near, own = " ".join(words), " ".join([*words[:-1], "z"]), " ".join(words[::-1])
+    rows = [(9, first), (2, near), (9, own), (4, "a b c d e f"), (4, "a b c d e f"), (None, first), (None, "x y z")]
+    docs = spark.createDataFrame([(i, t, "en", "src0", len(t)) for i, t in rows], DOCS)
+    got = sorted(((r["doc_id"] or 0, r["text"]) for r in cp.drop_near_duplicates(spark, docs, "").collect()))
+    assert got == sorted([(2, near), (9, own), (4, "a b c d e f"), (0, first), (0, "x y z")])
+
+
+def test_mixture_keeps_the_rows_that_it_took(spark):
+    """Rows without doc_id stay if taken, and of rows that share one, only those that were taken."""
+    rows = [(None if i % 3 == 0 else i % 5, f"text {i} " + "word " * (i % 7)) for i in range(120)]
+    docs = spark.createDataFrame([(i, t, "en", "src0", len(t)) for i, t in rows], DOCS)
+    taken = sum(r["n_tokens"] for r in mixing.mix(docs, cp.MIX_SHARE, 1).collect())
+    got = cp.mix_sources(spark, docs, "").collect()
+    assert sum(len(r["text"].split()) for r in got) == taken and any(r["doc_id"] is None for r in got)
+    assert len({r["text"] for r in got}) == len(got) < len(rows)
+
+
 def test_empty_and_odd_tables(spark):
     empty = spark.createDataFrame([], DOCS)
     odd = spark.createDataFrame([(1, "same text here", "en", None, 1)] * 3 + [(None, "a b c", None, "x", 3), (2, None, None, None, None)], DOCS).withColumns({"TEXT2": F.lit(1), "score": F.lit(2), "lang_pred": F.lit("x")})
