@@ -33,8 +33,10 @@ LEET = {
 }
 #: Characters that hide any letter, and those that are put between letters (fixed values).
 MASKS, SEPARATORS = "*#", " .-_*~'"
-#: Costs, in nats, of a stand-in, a hidden letter, a dropped separator, and of a run of letters read as one or as two (fixed values).
-SWAP_COST, MASK_COST, DROP_COST, RUN_COST = 0.7, 2.0, 0.2, 0.3
+#: Costs, in nats, of a stand-in, a hidden letter, a dropped separator, one that ends a word, and of a run of letters read as one or as two (fixed values).
+SWAP_COST, MASK_COST, DROP_COST, KEEP_COST, RUN_COST = 0.7, 2.0, 0.2, 0.2, 0.3
+#: How the end of a word and the begin of the next are written: two edges, as the language model counts them.
+GAP = "  "
 
 _EDGE, _OTHER, _SYMBOLS = 0, 27, 28
 _CLASS = np.zeros(256, np.int64)
@@ -43,10 +45,12 @@ _CLASS[128:] = _OTHER
 
 _LEETS = re.escape("".join(LEET))
 _WORD = re.compile(r"[^\W\d_]+")
-#: Letters spelled one by one: s t u p i d, s.t.u.p.i.d.
-_SPELLED = re.compile(r"(?<![^\W_])[^\W\d_](?:[ .\-_*~]{1,3}[^\W\d_](?![^\W\d_])){2,}")
-#: Stretches of a token that may be one disguised word: letters mixed with stand-ins or masks (1d10t, $tup1d, mor*n), or with a letter three times or more (stuuupid).
-_STRETCH = re.compile(rf"[\w{_LEETS}{MASKS}\-]+")
+#: Letters, stand-ins or masks spelled one by one: s t u p i d, s.t.u.p.i.d, 1 d 1 0 t.
+_ONE = rf"(?:[^\W_]|[{_LEETS}{MASKS}])"
+_SPELLED = re.compile(rf"(?<![^\W_]){_ONE}(?:[ .\-_*~']{{1,3}}{_ONE}(?![^\W_])){{2,}}")
+#: Stretches of a token that may be one disguised word: letters mixed with stand-ins or masks (1d10t, $tup1d, mor*n), with separators (stu.pid), or with a letter three times or more (stuuupid).
+_STRETCH = re.compile(rf"[\w{_LEETS}{MASKS}\-.~']+")
+_SPLIT = re.compile(r"[^\W_][.\-_~']+[^\W_]")
 _MARKS = re.compile(r"^[^\w]{2,}|[^\w]{2,}$")
 _RUN = re.compile(r"([^\W\d_])\1\1")
 _NOISE = frozenset(LEET) | frozenset(MASKS)
@@ -73,7 +77,7 @@ class LanguageModel:
 
 
 def _symbol(c: str) -> int:
-    return ord(c) - 96 if "a" <= c <= "z" else _OTHER
+    return ord(c) - 96 if "a" <= c <= "z" else _EDGE if c == " " else _OTHER
 
 
 def _arcs(token: str) -> list[list[tuple[int, str, float]]]:
@@ -94,7 +98,7 @@ def _arcs(token: str) -> list[list[tuple[int, str, float]]]:
         if c in MASKS:
             here += [(i + 1, chr(x), MASK_COST) for x in range(97, 123)]
         if c in SEPARATORS and 0 < i < n - 1:
-            here.append((i + 1, "", DROP_COST))
+            here += [(i + 1, "", DROP_COST), (i + 1, GAP, KEEP_COST)]
         if not here:
             here.append((i + 1, c, 0.0))
         out.append(here)
@@ -144,8 +148,8 @@ class Reader:
         words = set(_WORD.findall(token))
         for stretch in _STRETCH.findall(token):
             # marks that end a word stand for no letter, nor do rows of them before or after it
-            stretch = _MARKS.sub("", stretch).strip(MASKS + "-_").rstrip("!|+(")
-            if (not _NOISE.isdisjoint(stretch) or _RUN.search(stretch)) and _WORD.search(stretch):
+            stretch = _MARKS.sub("", stretch).strip(MASKS + SEPARATORS).rstrip("!|+(")
+            if (not _NOISE.isdisjoint(stretch) or _RUN.search(stretch) or _SPLIT.search(stretch)) and _WORD.search(stretch):
                 for i in range(0, max(1, len(stretch) - PART // 2), PART // 2):
                     words.update(_WORD.findall(restore(stretch[i : i + PART], self.model)))
         found = _features_of(words)
@@ -156,8 +160,11 @@ class Reader:
         tokens = set(text.split())
         out: set[str] = set()
         for m in _SPELLED.finditer(text):
-            for i in range(0, max(1, len(m.group()) - PART // 2), PART // 2):
-                out |= self.token_features(restore(m.group()[i : i + PART], self.model))
+            # marks before and after it are no letters
+            run = m.group().strip(MASKS + SEPARATORS)
+            if _WORD.search(run) and len(run) > 2:
+                for i in range(0, max(1, len(run) - PART // 2), PART // 2):
+                    out |= self.token_features(restore(run[i : i + PART], self.model))
         if len(self.known) > REMEMBERED:
             self.known, self.telling = set(), {}
         new = tokens - self.known

@@ -25,6 +25,15 @@ def test_restores(language, noisy, plain):
     assert plain in tox.Reader(language).features(f"well, {noisy} it is")
 
 
+@pytest.mark.parametrize("noisy,words", [("a s t u p i d", ["a", "stupid"]), ("y o u i d i o t", ["you", "idiot"]), ("1 d 1 0 t", ["idiot"]), ("m 0 r 0 n", ["moron"]), ("1.d.1.0.t", ["idiot"]), ("stu.pid", ["stupid"]), ("id-iot", ["idiot"]), ("idiot.there", ["idiot", "there"])])
+def test_spacing_is_decided(spark, noisy, words):
+    rng = random.Random(2)
+    texts = [(" ".join(rng.choice([*PLAIN, *INSULTS, "a", "you"]) for _ in range(40)),) for _ in range(60)]
+    model = tox.language_model(spark.createDataFrame(texts, "text string"))
+    assert tox.restore(noisy, model).split() == words
+    assert set(words) <= tox.Reader(model).features(f"well, {noisy} then")
+
+
 def test_viterbi_equals_enumeration(language):
     """Every path through the lattice, priced one by one."""
 
