@@ -80,9 +80,43 @@ def _final_stage(group: pd.DataFrame, r: float) -> pd.DataFrame:
     return pd.DataFrame({"id": ids, "cluster": [order[e] for e in heads], "exemplar_id": heads})
 
 
-def per_class(rows: DataFrame, r: float = 2) -> DataFrame:
-    """(id, class, exemplar): affinity propagation inside each class of rows (id, class, x); a class may have MOST rows."""
-    return rows.groupBy("class").applyInPandas(partial(_class_stage, r=r), "id long, class string, exemplar long")
+def _sample(rows: DataFrame, limit: int, seed: int) -> DataFrame | None:
+    """floor(limit / classes) rows of each class by a seeded hash, or None if rows do not exceed limit."""
+    sizes = rows.groupBy("class").count().collect()
+    if sum(r["count"] for r in sizes) <= limit:
+        return None
+    order = Window.partitionBy("class").orderBy(F.xxhash64("id", F.lit(seed)), "id")
+    return rows.withColumn("k", F.row_number().over(order)).where(F.col("k") <= max(1, limit // len(sizes))).drop("k")
+
+
+def _nearest_in_class(batches, points: dict):
+    for batch in batches:
+        out = []
+        for name, x in zip(batch["class"], batch["x"]):
+            ids, heads = points[name]
+            out.append(ids[between(np.asarray(x, np.float64)[None], heads)[0].argmin()])
+        yield pd.DataFrame({"id": batch["id"], "class": batch["class"], "exemplar": np.array(out, np.int64)})
+
+
+def per_class(rows: DataFrame, r: float = 2, limit: int = MOST, seed: int = 123) -> DataFrame:
+    """(id, class, exemplar): affinity propagation inside each class of rows (id, class, x).
+
+    If rows exceed limit, a sample of each class is clustered, and every other
+    row joins the nearest exemplar of its class.
+    """
+    shape = "id long, class string, exemplar long"
+    part = _sample(rows, limit, seed)
+    if part is None:
+        return rows.groupBy("class").applyInPandas(partial(_class_stage, r=r), shape)
+    found = rows.sparkSession.createDataFrame(part.groupBy("class").applyInPandas(partial(_class_stage, r=r), shape).toPandas(), shape)  # about limit rows
+    points: dict = {}
+    for row in part.join(found.select(F.col("exemplar").alias("id")).distinct(), "id", "left_semi").orderBy("id").collect():
+        ids, heads = points.setdefault(row["class"], ([], []))
+        ids.append(row["id"])
+        heads.append(row["x"])
+    points = {name: (np.array(ids), np.array(heads, np.float64)) for name, (ids, heads) in points.items()}
+    rest = rows.select("id", "class", "x").join(found.select("id"), "id", "left_anti").select("id", "class", "x")
+    return found.unionByName(rest.mapInPandas(partial(_nearest_in_class, points=points), shape))
 
 
 def two_stage(rows: DataFrame, r: float = 2) -> DataFrame:

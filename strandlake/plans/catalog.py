@@ -632,7 +632,7 @@ def hclust_order(spark, sf_dir):
 def ap_exemplars(spark, sf_dir):
     from strandlake.operators import ap
 
-    return ap.per_class(_bounded_vectors(spark, sf_dir).select(F.col("seq_id").alias("id"), "class", F.col("counts").alias("x")))
+    return ap.per_class(vectors(spark, sf_dir))
 
 
 @query("ap_two_stage")

@@ -129,6 +129,14 @@ def test_affinity_propagation(spark):
     assert sorted(r["id"] for r in some) == list(range(45)) and all(r["cluster"] for r in some)
 
 
+def test_exemplars_of_all_rows_beyond_the_limit(spark):
+    rng = np.random.default_rng(1)
+    x = np.concatenate([rng.standard_normal((15, 2)) * 0.3 + c for c in ((0, 0), (8, 0), (0, 8))])
+    df = spark.createDataFrame([(i, "ab"[i % 2], p.tolist()) for i, p in enumerate(x)], "id long, class string, x array<double>")
+    each = ap.per_class(df, limit=20).collect()
+    assert sorted(r["id"] for r in each) == list(range(45)) and all(r["exemplar"] % 2 == r["id"] % 2 and r["exemplar"] // 15 == r["id"] // 15 for r in each)
+
+
 # ------------------------------------------------------------- motifs
 
 
