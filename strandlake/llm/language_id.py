@@ -18,8 +18,8 @@ from strandlake.llm._text import LOWER, slices
 
 #: Hashed byte trigrams that a text is described by.
 DIMS = 2048
-#: The most languages, and about the most labelled rows in all, that the machines are fitted on; languages share the rows evenly.
-LANGS, ROWS = 64, 4800
+#: About the labelled rows in all that the machines are fitted on, which languages share evenly, and the rows that each may have however many languages there are.
+ROWS, LEAST = 4800, 75
 #: Families of language codes (fixed values); any other code is a family of its own.
 FAMILIES = {
     "germanic": ("en", "de", "nl", "sv", "da", "no", "nb", "nn", "is", "fy", "af", "lb"),
@@ -114,16 +114,15 @@ def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 def fit(labelled: DataFrame, seed: int = 7) -> Model:
-    """Fit on rows (doc_id, text, lang) with lang not null: about ROWS in all, as many of each language, drawn by the hash of doc_id, and the LANGS most frequent languages."""
+    """Fit on rows (doc_id, text, lang) with lang not null: about ROWS in all, as many of each language but up to LEAST at least, drawn by the hash of doc_id. Every language is learned."""
     rows = pick(labelled, "doc_id", "text", "lang").where("lang is not null and text is not null").withColumn("h", F.xxhash64("doc_id", F.lit(seed)))
-    sizes = [tuple(r) for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGS).collect()]
+    sizes = [tuple(r) for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()]
     if not sizes:
         return Model((), (), np.zeros((0, DIMS + 1)))
     # half as many again as wanted pass the hash, then a window over that bounded rest takes the wanted number
-    share = ROWS // len(sizes)
-    limit = F.lit(None).cast("double")
-    for lang, n in sizes:
-        limit = F.when(F.col("lang") == lang, F.lit(min(1.0, (1.5 * share + 50) / n))).otherwise(limit)
+    share = max(LEAST, ROWS // len(sizes))
+    # a look-up, since one condition for each language would nest too deep
+    limit = F.element_at(F.create_map(*[F.lit(v) for lang, n in sizes for v in (lang, min(1.0, (1.5 * share + 50) / n))]), F.col("lang"))
     unit = F.pmod("h", F.lit(1 << 32)) / float(1 << 32)
     some = rows.where(unit < limit).withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("k") <= share)
     got = some.select("lang", "text").mapInArrow(_feature_batches, "lang string, x binary").toPandas()

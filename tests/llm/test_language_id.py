@@ -60,3 +60,9 @@ def test_held_out_accuracy_on_the_given_table(spark):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in got)
     held = [r for r in got if r["held_out"]]
     assert np.mean([truth[r["doc_id"]] == r["lang_pred"] for r in held]) >= 0.97
+
+
+def test_every_language_is_learned(spark):
+    names = [f"{lang}-{i}" for lang in ("en", "fr", "ru", "hi", "tr", "fi", "ar") for i in range(10)]
+    rows = [(100 * i + j, f"{chr(97 + i % 26)}{chr(97 + i // 26)}q " * 20, name) for i, name in enumerate(names) for j in range(2)]
+    assert set(lid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string")).langs) == set(names)
