@@ -1,29 +1,47 @@
-"""Where jobs cut their lineage, and how inputs are read."""
+"""Where jobs cut their lineage, what they leave there, and how inputs are read."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
+#: Folders of written tables that were not removed yet, by application.
+_written: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or where it is unset (tests on one machine) a folder made once per application."""
+    """The folder that all executors share: spark.checkpoint.dir.
+
+    Where that is unset, and the master is local, so that there is one machine
+    only (tests), a folder made once per application and removed at the end of
+    the process. Elsewhere an unset folder is an error.
+    """
     given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if given:
         return given.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
-        _own[app] = "file://" + tempfile.mkdtemp(prefix="strandlake-")
+        own = tempfile.mkdtemp(prefix="strandlake-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        _own[app] = "file://" + own
     return _own[app]
 
 
 def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    """A path that is not in use; what is written there counts as a table of this application."""
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def cut(df: DataFrame, tag: str) -> DataFrame:
@@ -31,7 +49,36 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Remove written tables; what is not there is no error."""
+    jvm, have = spark._jvm, _written.get(spark.sparkContext.applicationId, [])
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        if path in have:
+            have.remove(path)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Remove tables that cut() returned and that no later plan reads."""
+    for df in tables:
+        if path := getattr(df, "_written_at", None):
+            remove(df.sparkSession, path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Tables written inside are removed at the end, but for those put into the list that this yields."""
+    before = set(_written.get(spark.sparkContext.applicationId, []))
+    kept: list[DataFrame] = []
+    yield kept
+    keep = {getattr(df, "_written_at", None) for df in kept}
+    remove(spark, *[p for p in list(_written.get(spark.sparkContext.applicationId, [])) if p not in before and p not in keep])
 
 
 def pick(df: DataFrame, *names: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -9,10 +11,6 @@ import pyarrow.compute as pc
 #: Text bytes that one slice holds at most, unless a single document is longer.
 SLICE_BYTES = 2 << 20
 
-_R = np.uint64(0x9E3779B97F4A7C15 | 1)
-_RINV = np.uint64(pow(int(_R), -1, 1 << 64))
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
 WHITE = np.zeros(256, bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -28,22 +26,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = max(SLICE_BYTES + 1, n + 1)
-    for have, tables in _powers.items():
-        if have >= size:
-            return tables
-    out = []
-    for base in (_R, _RINV):
-        p = np.full(size, base, np.uint64)
-        p[0] = 1
-        out.append(np.multiply.accumulate(p))
-    if size <= 4 * SLICE_BYTES:
-        _powers.clear()
-        _powers[size] = (out[0], out[1])
-    return out[0], out[1]
-
-
 def slices(column: pa.Array):
     """(first row, bytes, offsets) for runs of rows of about SLICE_BYTES; nulls read as empty."""
     if column.null_count:
@@ -74,13 +56,45 @@ def spans(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.flatnonzero(start), np.flatnonzero(stop) + 1
 
 
+def _chain(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The hash of a sequence that goes on with w. Feeding w forward keeps the step from being solved for w."""
+    return mix(h * np.uint64(0xA24BAED4963EE407) + w) ^ mix(w + np.uint64(0x9E3779B97F4A7C15))
+
+
+#: Bytes of the longest span that is hashed by blocks of eight; longer ones go through BLAKE2.
+BLOCKED = 32
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans, from prefix sums of a polynomial hash."""
-    power, inverse = _power_table(len(data))
-    prefix = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=prefix[1:])
-    h = (prefix[ends] - prefix[starts]) * inverse[starts]
-    return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    """64-bit hashes of byte spans.
+
+    A span of up to seven bytes is put, with its length, through a bijection, so
+    no two of them collide; up to BLOCKED bytes its blocks of eight are chained;
+    longer ones go through BLAKE2.
+    """
+    size = ends - starts
+    padded = np.r_[data, np.zeros(8, np.uint8)]
+    eight = np.ndarray(len(data) + 1, "<u8", padded.data, 0, (1,))
+
+    def block(at: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """The next bytes from at, eight at most, as a number."""
+        unused = np.uint64(8) * (8 - np.minimum(left, 8)).astype(np.uint64)
+        return eight[at] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> unused)
+
+    out = np.empty(len(size), np.uint64)
+    at = np.flatnonzero((size > 0) & (size <= 7))
+    out[at] = mix(mix(block(starts[at], size[at]) | size[at].astype(np.uint64) << np.uint64(56)) + np.uint64(0xD6E8FEB86659FD93))
+    at = np.flatnonzero((size > 7) & (size <= BLOCKED))
+    h = mix(eight[starts[at]] ^ mix(size[at].astype(np.uint64)))
+    for done in range(8, BLOCKED, 8):
+        more = np.flatnonzero(size[at] > done)
+        h[more] = _chain(h[more], block(starts[at[more]] + done, size[at[more]] - done))
+    out[at] = mix(h)
+    at = np.flatnonzero(size > BLOCKED)
+    if len(at):
+        raw = data.tobytes()
+        out[at] = [int.from_bytes(hashlib.blake2b(raw[a:b], digest_size=8).digest(), "little") for a, b in zip(starts[at].tolist(), ends[at].tolist())]
+    return out
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -104,14 +118,14 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndar
         n = max(0, len(w) - t)
         nxt = np.zeros_like(w)
         nxt[:n] = w[t:]
-        full = mix(full * np.uint64(0xA24BAED4963EE407) + nxt)
+        full = _chain(full, nxt)
         ok[n:] = False
         ok[:n] &= doc[t:] == doc[:n]
     size = np.diff(bounds)
     for d in np.flatnonzero((size > 0) & (size < k)):
-        h = np.array([size[d]], np.uint64)
-        for x in w[bounds[d] : bounds[d + 1]]:
-            h = mix(h * np.uint64(0xA24BAED4963EE407) + x)
+        h = w[bounds[d] : bounds[d] + 1] + np.uint64(size[d])
+        for i in range(bounds[d] + 1, bounds[d + 1]):
+            h = _chain(h, w[i : i + 1])
         full[bounds[d]] = h[0]
         ok[bounds[d]] = True
     h, doc = full[ok], doc[ok]

@@ -9,18 +9,18 @@ from functools import partial
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.llm._graph import components
-from strandlake.llm._store import cut, pick, small_or_shuffled
+from strandlake.llm._store import cut, pick, scratch, small_or_shuffled
 from strandlake.llm._text import mix, shingle_sets, slices
 
 #: Signature rows of a band, and the most likely miss of a pair at exactly the threshold.
 BAND_ROWS, MISS = 6, 1e-6
-#: Documents of a large group, and bytes of their sets, that one verification task holds from either side, about.
+#: Documents of a large bucket, and bytes of their sets, that one verification task holds from either side, about.
 CHUNK, CHUNK_BYTES = 256, 4 << 20
-#: Bytes of sets that one task of small groups holds, about.
+#: Bytes of sets that one task of small buckets holds, about.
 TASK_BYTES = 2 << 20
 #: Shingles whose ranks are drawn at once.
 _AT_ONCE = 1 << 16
@@ -110,23 +110,28 @@ def _signatures(h: np.ndarray, bounds: np.ndarray, m: int) -> np.ndarray:
     return out
 
 
+def _prints(h: np.ndarray, bounds: np.ndarray) -> list[pa.Array]:
+    """Two 64-bit sums of each set, equal for equal sets; 0 for empty ones."""
+    out = np.zeros((2, len(bounds) - 1), np.uint64)
+    some = np.flatnonzero(np.diff(bounds))
+    if len(some):
+        for i, salt in enumerate((0x2545F4914F6CDD1D, 0x9E6C63D0876A9A47)):
+            out[i, some] = mix(np.add.reduceat(mix(h ^ np.uint64(salt)), bounds[some]))
+    return [pa.array(x.view(np.int64)) for x in out]
+
+
 def _sign_batches(batches: Iterator[pa.RecordBatch], k: int, bands: int) -> Iterator[pa.RecordBatch]:
     m = bands * BAND_ROWS
     for batch in batches:
         for row, data, offsets in slices(batch.column(1)):
             h, bounds = shingle_sets(data, offsets, k)
             n = len(offsets) - 1
-            print_ = np.zeros((2, n), np.uint64)
-            some = np.flatnonzero(np.diff(bounds))
-            if len(some):
-                for i, salt in enumerate((0x2545F4914F6CDD1D, 0x9E6C63D0876A9A47)):
-                    print_[i, some] = mix(np.add.reduceat(mix(h ^ np.uint64(salt)), bounds[some]))
             sig = _signatures(h, bounds, m).view(np.uint64).reshape(n, bands, BAND_ROWS)
             key = np.broadcast_to(np.arange(bands, dtype=np.uint64), (n, bands)).copy()
             for r in range(BAND_ROWS):
                 key = mix(key * np.uint64(0xD1342543DE82EF95) + sig[:, :, r])
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * bands + 1, bands, dtype=np.int32)), pa.array(key.reshape(-1).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, n), pa.array(np.diff(bounds)), *[pa.array(x.view(np.int64)) for x in print_], lists], names=["doc_id", "n_shingles", "f1", "f2", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, n), pa.array(np.diff(bounds)), *_prints(h, bounds), lists], names=["doc_id", "n_shingles", "f1", "f2", "bands"])
 
 
 def _set_batches(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -135,7 +140,7 @@ def _set_batches(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.Recor
             h, bounds = shingle_sets(data, offsets, k)
             raw = h.tobytes()
             sets = pa.array([raw[8 * a : 8 * b] for a, b in zip(bounds[:-1], bounds[1:])], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(sets)), sets], names=["doc_id", "hashes"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(sets)), *_prints(h, bounds), sets], names=["node", "f1", "f2", "hashes"])
 
 
 def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -182,24 +187,131 @@ def _forest(pairs: np.ndarray, n: int) -> list[tuple[int, int]]:
     return out
 
 
-def _verify(task: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Spanning links among the rows of each group of a task whose sets are similar enough; of two different chunks, only links between them."""
+def _links(u: list, v: list) -> pd.DataFrame:
+    return pd.DataFrame({"u": np.array(u, np.int64), "v": np.array(v, np.int64)})
+
+
+def _groups(task: pd.DataFrame) -> Iterator[np.ndarray]:
+    """Row numbers of each group of a task."""
+    order = np.argsort(task["grp"].to_numpy(), kind="stable")
+    name = task["grp"].to_numpy()[order]
+    yield from np.split(order, np.flatnonzero(name[1:] != name[:-1]) + 1)
+
+
+def _verify_stars(task: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Links from the hub of each group of a task to those of its other rows whose sets are similar enough."""
+    u, v = [], []
+    ids, hub, sets = task["node"].to_numpy(), task["hub"].to_numpy(), task["hashes"].to_numpy()
+    for rows in _groups(task):
+        others = rows[~hub[rows]]
+        part = [np.frombuffer(sets[i], np.uint64) for i in others]
+        size = np.array([len(x) for x in part])
+        for at in rows[hub[rows]] if len(others) else ():
+            own = np.frombuffer(sets[at], np.uint64)
+            every = np.concatenate(part)
+            place = np.minimum(np.searchsorted(own, every), len(own) - 1)
+            inter = np.bincount(np.repeat(np.arange(len(part)), size)[own[place] == every], minlength=len(part))
+            for i in others[100 * inter >= percent * (size + len(own) - inter)]:
+                u.append(ids[at])
+                v.append(ids[i])
+    return _links(u, v)
+
+
+def _verify_rest(task: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Spanning links among the rows of each group of a task that no link joins yet and whose sets are similar enough; of two different chunks, only links between them."""
     u, v = [], []
-    for _, group in task.groupby("grp", sort=False):
-        if len(group) < 2:
+    for rows in _groups(task):
+        if len(rows) < 2:
             continue
+        group = task.iloc[rows]
         sets = [np.frombuffer(x, np.uint64) for x in group["hashes"]]
-        ids, chunk = group["node"].to_numpy(), group["chunk"].to_numpy()
+        ids, chunk, comp = group["node"].to_numpy(), group["chunk"].to_numpy(), group["comp"].to_numpy()
         size = np.array([len(s) for s in sets], np.float64)
         inter = _overlaps(sets)
-        union = size[:, None] + size[None, :] - inter
-        linked = (100 * inter >= percent * union) & (union > 0)
+        linked = (100 * inter >= percent * (size[:, None] + size[None, :] - inter)) & (comp[:, None] != comp[None, :])
         if len(set(chunk)) > 1:
             linked &= chunk[:, None] != chunk[None, :]
         for i, j in _forest(np.argwhere(np.triu(linked, 1)), len(ids)):
             u.append(ids[i])
             v.append(ids[j])
-    return pd.DataFrame({"u": np.array(u, np.int64), "v": np.array(v, np.int64)})
+    return _links(u, v)
+
+
+def _pieces(rows: Column, sizes: Column) -> Column:
+    """Chunks that so many rows, whose sets have so many shingles in all, are dealt into."""
+    return F.greatest(F.ceil(rows / CHUNK), F.ceil(sizes * 8 / CHUNK_BYTES)).cast("int")
+
+
+def _dealt(name: str, pieces: str) -> Column:
+    return F.pmod(F.xxhash64(name), F.col(pieces)).cast("int")
+
+
+def _tasks(rows: DataFrame) -> int:
+    """Tasks that the small groups of rows (with sizes n) are spread over."""
+    return max(1, math.ceil(8 * (rows.agg(F.sum("n")).first()[0] or 0) / TASK_BYTES))
+
+
+def _star_links(member: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) between the hub of a bucket and its other members: each pair is checked once, however many bands it shares."""
+    edges = cut(member.where("node <> u").select("u", "un", F.col("node").alias("v"), "n").where(f"100 * least(n, un) >= {percent} * greatest(n, un)").distinct(), "stars")
+    sized = cut(edges.groupBy("u").agg(_pieces(F.count("*"), F.sum("n") + F.first("un")).alias("pieces")), "star-sizes")
+    leaf = edges.join(small_or_shuffled(sized, 16), "u").select(F.col("u").alias("grp"), "pieces", _dealt("v", "pieces").alias("chunk"), F.col("v").alias("node"), F.lit(False).alias("hub"))
+    head = sized.select(F.col("u").alias("grp"), "pieces", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("chunk"), F.col("u").alias("node"), F.lit(True).alias("hub"))
+    # hubs of one piece share a task with others; larger ones have a task for each piece
+    task = F.when(F.col("pieces") == 1, F.struct(F.lit(0).cast("long").alias("g"), F.pmod(F.xxhash64("grp"), F.lit(_tasks(edges))).cast("int").alias("c"), F.lit(False).alias("large")))
+    task = task.otherwise(F.struct(F.col("grp").alias("g"), F.col("chunk").alias("c"), F.lit(True).alias("large")))
+    work = sets.join(leaf.unionByName(head), "node").select(task.alias("task"), "grp", "node", "hub", "hashes")
+    return cut(work.groupBy("task").applyInPandas(partial(_verify_stars, percent=percent), "u long, v long"), "star-links")
+
+
+def _rest_links(member: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+    """Links (u, v) between members of one bucket, hubs aside, that found (node, component) does not join yet.
+
+    Buckets of equal members are checked once.  In a large bucket, components
+    that fill a chunk have chunks of their own, which are never paired with each
+    other; the rest is dealt into chunks, and each two chunks are a task.
+    """
+    rest = member.where("node <> u").select("band", "node", "n").join(found, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
+    rest = cut(rest, "rest-members")
+    open_ = rest.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("rows"), F.sum(F.xxhash64("node").cast("decimal(20)")).alias("s1"), F.sum(F.xxhash64("node", F.lit(1)).cast("decimal(20)")).alias("s2"))
+    open_ = open_.where("low < high").groupBy("rows", "s1", "s2").agg(F.min("band").alias("band")).select("band")
+    rest = cut(rest.join(small_or_shuffled(cut(open_, "rest-bands"), 16), "band"), "rest-open")
+    if rest.isEmpty():
+        return None
+    own = rest.groupBy("band", "comp").agg(_pieces(F.count("*") * 2, F.sum("n") * 2).alias("half")).where("half > 1").select("band", "comp", F.col("comp").alias("own"))
+    rest = rest.join(small_or_shuffled(cut(own, "rest-own"), 24), ["band", "comp"], "left")
+    kind = F.struct(F.col("own").isNotNull().alias("large"), F.coalesce("own", F.lit(0)).alias("own")).alias("kind")
+    rest = cut(rest.select("band", "node", "n", "comp", kind), "rest-kinds")
+    sized = rest.groupBy("band", "kind").agg(_pieces(F.count("*"), F.sum("n")).alias("pieces"))
+    every = F.flatten(F.collect_list(F.transform(F.sequence(F.lit(0), F.col("pieces") - 1), lambda c: F.struct(F.col("kind"), c.alias("c"))))).alias("every")
+    chunks = cut(sized.groupBy("band").agg(every), "rest-chunks")
+    placed = rest.join(cut(sized, "rest-sizes"), ["band", "kind"]).join(chunks, "band").withColumn("own_chunk", F.struct("kind", _dealt("node", "pieces").alias("c")))
+    other = F.explode(F.filter("every", lambda e: ~(e["kind"]["large"] & (e["kind"] == F.col("kind")))))
+    placed = placed.select("band", "node", "comp", "own_chunk", (F.size("every") == 1).alias("single"), other.alias("other"))
+    none = F.struct(F.struct(F.lit(False).alias("large"), F.lit(0).cast("long").alias("own")).alias("kind"), F.lit(0).alias("c"))
+    task = F.when(F.col("single"), F.struct(F.pmod(F.xxhash64("band"), F.lit(_tasks(rest))).alias("b"), none.alias("x"), none.alias("y"), F.lit(True).alias("small")))
+    task = task.otherwise(F.struct(F.col("band").alias("b"), F.least("own_chunk", "other").alias("x"), F.greatest("own_chunk", "other").alias("y"), F.lit(False).alias("small")))
+    work = sets.join(placed, "node").select(task.alias("task"), F.col("band").alias("grp"), "node", "comp", F.xxhash64("own_chunk").alias("chunk"), "hashes")
+    return cut(work.groupBy("task").applyInPandas(partial(_verify_rest, percent=percent), "u long, v long"), "rest-links")
+
+
+def _linked(docs: DataFrame, classes: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(node, component) of the classes (node, f1, f2, n, bands) that links join."""
+    key = classes.select("node", "n", F.explode("bands").alias("band"))
+    hubs = key.groupBy("band").agg(F.min(F.struct("node", "n")).alias("hub"), F.max("node").alias("top")).where("hub.node < top").select("band", F.col("hub.node").alias("u"), F.col("hub.n").alias("un"))
+    member = cut(key.join(hubs, "band"), "members")
+    nodes = cut(member.select("node").distinct(), "nodes")
+    texts = docs.join(small_or_shuffled(nodes, 16), docs["doc_id"] == nodes["node"], "left_semi")
+    sets = cut(texts.mapInArrow(partial(_set_batches, k=shingle), "node long, f1 long, f2 long, hashes binary").where(F.length("hashes") > 0), "sets")
+    same = ["node", "f1", "f2"]
+    if not sets.groupBy(*same).count().where("count > 1").isEmpty():
+        sets = cut(sets.groupBy(*same).agg(F.first("hashes").alias("hashes")), "sets")
+    # a doc_id may occur with other texts, of which other rows are the classes
+    sets = sets.join(classes.select(*same), same, "left_semi").select("node", "hashes")
+    links = _star_links(member, sets, percent)
+    found = components(links)
+    more = _rest_links(member, found, sets, percent)
+    return found if more is None or more.isEmpty() else components(links.union(more))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -209,49 +321,36 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     reach), kept (doc_id is component_id), a row for each row of docs.
 
     Equal sets are one class from the start.  Classes that share a band of the
-    SuperMinHash signature form candidate groups; every pair of a group is then
-    checked on full sets, in tasks of at most two chunks of CHUNK classes, and
-    tasks return spanning links only.  A pair at the threshold shares no band
-    with probability MISS at most.
+    SuperMinHash signature are a bucket.  Every member of a bucket is checked, on
+    full sets, against the bucket's hub, and what links is joined.  Only where a
+    bucket's members still lie in several components are those checked against
+    each other, in tasks of at most two chunks of CHUNK classes that return
+    spanning links only.  So a group of copies costs about one check a member, and
+    chains of buckets never become one group.  A pair at the threshold shares no
+    band with probability MISS at most; no other link is lost.
 
     Words are runs without ASCII white space, with A-Z lower-cased.  A document
     of fewer words has its whole sequence as its one shingle.  Null, empty and
     blank texts have no set, link with nothing and keep their own doc_id.  Rows
     that repeat a doc_id with the same set are one document; with other sets, each
     row has its own links, and sets whose smallest doc_id is equal join.  A null
-    doc_id stays alone and is kept.  Extra columns are ignored.
+    doc_id stays alone and is kept.  Extra columns are ignored.  No rows give none.
     """
     docs = pick(docs, "doc_id", "text")
     bands = bands_for(percent)
     signed = docs.mapInArrow(partial(_sign_batches, k=shingle, bands=bands), "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>")
     signed = cut(signed, "signatures")
-    named = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = named.groupBy("f1", "f2").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
-    classes = cut(classes, "classes")
-    key = classes.select("node", F.explode("bands").alias("band"))
-    hubs = key.groupBy("band").agg(F.min("node").alias("u"), F.max("node").alias("top")).where("u < top").select("band", "u")
-    edges = cut(key.join(hubs, "band").select("u", F.col("node").alias("v")).where("u <> v").distinct(), "candidates")
-    groups = cut(components(edges).select("node", F.col("component").alias("grp")), "groups")
-    sized = cut(groups.join(classes.select("node", "n"), "node"), "sized-groups")
-    parts = F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("n") * 8 / CHUNK_BYTES)).cast("int")
-    large = cut(sized.groupBy("grp").agg(parts.alias("chunks")).where("chunks > 1"), "large-groups")
-    chunks = F.coalesce("chunks", F.lit(1))
-    member = sized.join(small_or_shuffled(large, 24), "grp", "left").select("node", "grp", chunks.alias("chunks"), F.pmod(F.xxhash64("node"), chunks).cast("int").alias("chunk"))
-    tasks = max(1, math.ceil(8 * (sized.agg(F.sum("n")).first()[0] or 0) / TASK_BYTES))
-    # a group of one chunk shares a task with others; a larger one has a task for each two chunks
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    spread = member.select("node", "grp", "chunks", "chunk", other.alias("other"))
-    task = F.when(F.col("chunks") == 1, F.struct(F.lit(-1).cast("long").alias("g"), F.pmod(F.xxhash64("grp"), F.lit(tasks)).cast("int").alias("a"), F.lit(0).alias("b")))
-    task = task.otherwise(F.struct(F.col("grp").alias("g"), F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b")))
-    texts = docs.join(small_or_shuffled(cut(groups.select(F.col("node").alias("doc_id")), "nodes"), 16), "doc_id", "left_semi")
-    sets = cut(texts.mapInArrow(partial(_set_batches, k=shingle), "doc_id long, hashes binary").where(F.length("hashes") > 0), "sets")
-    work = sets.join(spread, sets["doc_id"] == spread["node"]).select(task.alias("task"), "grp", "node", "chunk", "hashes")
-    links = work.groupBy("task").applyInPandas(partial(_verify, percent=percent), "u long, v long")
-    found = components(cut(links, "links"))
-    top = classes.select("f1", "f2", "node").join(found, "node", "left").select("f1", "f2", F.coalesce("component", "node").alias("component"))
-    out = signed.select("doc_id", "n_shingles", "f1", "f2", (F.col("n_shingles") > 0).alias("some")).join(top.withColumn("some", F.lit(True)), ["f1", "f2", "some"], "left")
-    component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    some = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
+    with scratch(docs.sparkSession) as kept:
+        classes = signed.where(some).groupBy("f1", "f2").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+        classes = cut(classes, "classes")
+        found = _linked(docs, classes, shingle, percent)
+        top = cut(classes.select("f1", "f2", "node").join(found, "node", "left").select("f1", "f2", F.coalesce("component", "node").alias("component_id")), "tops")
+        kept.append(top)
+    # documents without a set have no class to look up
+    alone = signed.where(~some).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    out = signed.where(some).join(top, ["f1", "f2"]).select("doc_id", "n_shingles", "component_id").unionByName(alone)
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
