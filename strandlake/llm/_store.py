@@ -94,6 +94,12 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return flat.select(*[F.col(f"c{i}").alias(n) for i, n in zip(at, names)])
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over at least as many partitions as there are cores: a table of few splits is small, and one task would do all the work. Tables of many splits stay as they are."""
+    want = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+
+
 def broadcast_limit(spark: SparkSession) -> int:
     """Bytes up to which a counted side may be broadcast: Spark's own threshold (0 where broadcasting is switched off)."""
     text = str(spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")).strip().lower()

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.llm._graph import components
-from strandlake.llm._store import cut, pick, scratch, small_or_shuffled
+from strandlake.llm._store import cut, pick, scratch, small_or_shuffled, spread
 from strandlake.llm._text import mix, shingle_sets, slices
 
 #: Signature rows of a band, and the most likely miss of a pair at exactly the threshold.
@@ -273,26 +273,37 @@ def _rest_links(member: DataFrame, found: DataFrame, sets: DataFrame, percent: i
     """
     rest = member.where("node <> u").select("band", "node", "n").join(found, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
     rest = cut(rest, "rest-members")
-    open_ = rest.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("rows"), F.sum(F.xxhash64("node").cast("decimal(20)")).alias("s1"), F.sum(F.xxhash64("node", F.lit(1)).cast("decimal(20)")).alias("s2"))
-    open_ = open_.where("low < high").groupBy("rows", "s1", "s2").agg(F.min("band").alias("band")).select("band")
-    rest = cut(rest.join(small_or_shuffled(cut(open_, "rest-bands"), 16), "band"), "rest-open")
+    hashes = [F.sum(F.xxhash64("node", F.lit(salt)).cast("decimal(20)")).alias(f"s{salt}") for salt in (0, 1)]
+    open_ = rest.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("rows"), *hashes, _pieces(F.count("*"), F.sum("n")).alias("pieces"))
+    open_ = open_.where("low < high").groupBy("rows", "s0", "s1").agg(F.min(F.struct("band", "pieces")).alias("b")).select("b.*")
+    rest = cut(rest.join(small_or_shuffled(cut(open_, "rest-bands"), 20), "band"), "rest-open")
     if rest.isEmpty():
         return None
+    single = rest.where("pieces = 1").withColumn("chunk", F.lit(0).cast("long"))
+    task = F.struct(F.pmod(F.xxhash64("band"), F.lit(_tasks(rest))).alias("b"), F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y"), F.lit(True).alias("small"))
+    placed = single.select(task.alias("task"), F.col("band").alias("grp"), "node", "comp", "chunk")
+    large = rest.where("pieces > 1")
+    if not large.isEmpty():
+        placed = placed.unionByName(_chunked(large))
+    work = sets.join(placed, "node").select("task", "grp", "node", "comp", "chunk", "hashes")
+    return cut(work.groupBy("task").applyInPandas(partial(_verify_rest, percent=percent), "u long, v long"), "rest-links")
+
+
+def _chunked(rest: DataFrame) -> DataFrame:
+    """(task, grp, node, comp, chunk): members (band, node, n, comp) of large buckets, once for each task of two chunks that they take part in."""
     own = rest.groupBy("band", "comp").agg(_pieces(F.count("*") * 2, F.sum("n") * 2).alias("half")).where("half > 1").select("band", "comp", F.col("comp").alias("own"))
-    rest = rest.join(small_or_shuffled(cut(own, "rest-own"), 24), ["band", "comp"], "left")
+    rest = rest.select("band", "node", "n", "comp").join(small_or_shuffled(cut(own, "rest-own"), 24), ["band", "comp"], "left")
     kind = F.struct(F.col("own").isNotNull().alias("large"), F.coalesce("own", F.lit(0)).alias("own")).alias("kind")
     rest = cut(rest.select("band", "node", "n", "comp", kind), "rest-kinds")
-    sized = rest.groupBy("band", "kind").agg(_pieces(F.count("*"), F.sum("n")).alias("pieces"))
-    every = F.flatten(F.collect_list(F.transform(F.sequence(F.lit(0), F.col("pieces") - 1), lambda c: F.struct(F.col("kind"), c.alias("c"))))).alias("every")
-    chunks = cut(sized.groupBy("band").agg(every), "rest-chunks")
-    placed = rest.join(cut(sized, "rest-sizes"), ["band", "kind"]).join(chunks, "band").withColumn("own_chunk", F.struct("kind", _dealt("node", "pieces").alias("c")))
-    other = F.explode(F.filter("every", lambda e: ~(e["kind"]["large"] & (e["kind"] == F.col("kind")))))
-    placed = placed.select("band", "node", "comp", "own_chunk", (F.size("every") == 1).alias("single"), other.alias("other"))
-    none = F.struct(F.struct(F.lit(False).alias("large"), F.lit(0).cast("long").alias("own")).alias("kind"), F.lit(0).alias("c"))
-    task = F.when(F.col("single"), F.struct(F.pmod(F.xxhash64("band"), F.lit(_tasks(rest))).alias("b"), none.alias("x"), none.alias("y"), F.lit(True).alias("small")))
-    task = task.otherwise(F.struct(F.col("band").alias("b"), F.least("own_chunk", "other").alias("x"), F.greatest("own_chunk", "other").alias("y"), F.lit(False).alias("small")))
-    work = sets.join(placed, "node").select(task.alias("task"), F.col("band").alias("grp"), "node", "comp", F.xxhash64("own_chunk").alias("chunk"), "hashes")
-    return cut(work.groupBy("task").applyInPandas(partial(_verify_rest, percent=percent), "u long, v long"), "rest-links")
+    sized = cut(rest.groupBy("band", "kind").agg(_pieces(F.count("*"), F.sum("n")).alias("pieces")), "rest-sizes")
+    # a chunk's number is the hash of what it is; chunks of one component are never paired
+    chunks = sized.select("band", "kind", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("c")).select("band", F.struct("kind", F.xxhash64("kind", "c").alias("id")).alias("chunk"))
+    chunks = chunks.groupBy("band").agg(F.collect_list("chunk").alias("every"))
+    placed = rest.join(sized, ["band", "kind"]).join(chunks, "band").withColumn("chunk", F.xxhash64("kind", _dealt("node", "pieces").alias("c")))
+    other = F.explode(F.filter("every", lambda e: ~(e["kind"]["large"] & (e["kind"] == F.col("kind"))))["id"])
+    placed = placed.select("band", "node", "comp", "chunk", other.alias("other"))
+    task = F.struct(F.col("band").alias("b"), F.least("chunk", "other").alias("x"), F.greatest("chunk", "other").alias("y"), F.lit(False).alias("small"))
+    return placed.select(task.alias("task"), F.col("band").alias("grp"), "node", "comp", "chunk")
 
 
 def _linked(docs: DataFrame, classes: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -336,7 +347,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     row has its own links, and sets whose smallest doc_id is equal join.  A null
     doc_id stays alone and is kept.  Extra columns are ignored.  No rows give none.
     """
-    docs = pick(docs, "doc_id", "text")
+    docs = spread(pick(docs, "doc_id", "text"))
     bands = bands_for(percent)
     signed = docs.mapInArrow(partial(_sign_batches, k=shingle, bands=bands), "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>")
     signed = cut(signed, "signatures")
