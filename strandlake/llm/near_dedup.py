@@ -251,9 +251,11 @@ def _tasks(rows: DataFrame) -> int:
     return max(1, math.ceil(8 * (rows.agg(F.sum("n")).first()[0] or 0) / TASK_BYTES))
 
 
-def _star_links(member: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _star_links(member: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (u, v) between the hub of a bucket and its other members: each pair is checked once, however many bands it shares."""
-    edges = cut(member.where("node <> u").select("u", "un", F.col("node").alias("v"), "n").where(f"100 * least(n, un) >= {percent} * greatest(n, un)").distinct(), "stars")
+    edges = member.where("node <> u").select("u", "node").distinct().join(sizes, "node").select("u", F.col("node").alias("v"), "n")
+    edges = edges.join(sizes.select(F.col("node").alias("u"), F.col("n").alias("un")), "u")
+    edges = cut(edges.where(f"100 * least(n, un) >= {percent} * greatest(n, un)"), "stars")
     sized = cut(edges.groupBy("u").agg(_pieces(F.count("*"), F.sum("n") + F.first("un")).alias("pieces")), "star-sizes")
     leaf = edges.join(small_or_shuffled(sized, 16), "u").select(F.col("u").alias("grp"), "pieces", _dealt("v", "pieces").alias("chunk"), F.col("v").alias("node"), F.lit(False).alias("hub"))
     head = sized.select(F.col("u").alias("grp"), "pieces", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("chunk"), F.col("u").alias("node"), F.lit(True).alias("hub"))
@@ -264,14 +266,14 @@ def _star_links(member: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return cut(work.groupBy("task").applyInPandas(partial(_verify_stars, percent=percent), "u long, v long"), "star-links")
 
 
-def _rest_links(member: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+def _rest_links(member: DataFrame, sizes: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
     """Links (u, v) between members of one bucket, hubs aside, that found (node, component) does not join yet.
 
     Buckets of equal members are checked once.  In a large bucket, components
     that fill a chunk have chunks of their own, which are never paired with each
     other; the rest is dealt into chunks, and each two chunks are a task.
     """
-    rest = member.where("node <> u").select("band", "node", "n").join(found, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
+    rest = member.where("node <> u").select("band", "node").join(sizes, "node").join(found, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
     rest = cut(rest, "rest-members")
     hashes = [F.sum(F.xxhash64("node", F.lit(salt)).cast("decimal(20)")).alias(f"s{salt}") for salt in (0, 1)]
     open_ = rest.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("rows"), *hashes, _pieces(F.count("*"), F.sum("n")).alias("pieces"))
@@ -308,20 +310,21 @@ def _chunked(rest: DataFrame) -> DataFrame:
 
 def _linked(docs: DataFrame, classes: DataFrame, shingle: int, percent: int) -> DataFrame:
     """(node, component) of the classes (node, f1, f2, n, bands) that links join."""
-    key = classes.select("node", "n", F.explode("bands").alias("band"))
-    hubs = key.groupBy("band").agg(F.min(F.struct("node", "n")).alias("hub"), F.max("node").alias("top")).where("hub.node < top").select("band", F.col("hub.node").alias("u"), F.col("hub.n").alias("un"))
+    key = classes.select("node", F.explode("bands").alias("band"))
+    hubs = key.groupBy("band").agg(F.min("node").alias("u"), F.max("node").alias("top")).where("u < top").select("band", "u")
     member = cut(key.join(hubs, "band"), "members")
-    nodes = cut(member.select("node").distinct(), "nodes")
-    texts = docs.join(small_or_shuffled(nodes, 16), docs["doc_id"] == nodes["node"], "left_semi")
+    nodes = cut(member.select("node").distinct().join(classes.select("node", "n"), "node"), "nodes")
+    sizes = small_or_shuffled(nodes, 24)
+    texts = docs.join(sizes, docs["doc_id"] == nodes["node"], "left_semi")
     sets = cut(texts.mapInArrow(partial(_set_batches, k=shingle), "node long, f1 long, f2 long, hashes binary").where(F.length("hashes") > 0), "sets")
     same = ["node", "f1", "f2"]
     if not sets.groupBy(*same).count().where("count > 1").isEmpty():
         sets = cut(sets.groupBy(*same).agg(F.first("hashes").alias("hashes")), "sets")
     # a doc_id may occur with other texts, of which other rows are the classes
     sets = sets.join(classes.select(*same), same, "left_semi").select("node", "hashes")
-    links = _star_links(member, sets, percent)
+    links = _star_links(member, sizes, sets, percent)
     found = components(links)
-    more = _rest_links(member, found, sets, percent)
+    more = _rest_links(member, sizes, found, sets, percent)
     return found if more is None or more.isEmpty() else components(links.union(more))
 
 

@@ -66,3 +66,77 @@ def test_every_language_is_learned(spark):
     names = [f"{lang}-{i}" for lang in ("en", "fr", "ru", "hi", "tr", "fi", "ar") for i in range(10)]
     rows = [(100 * i + j, f"{chr(97 + i % 26)}{chr(97 + i // 26)}q " * 20, name) for i, name in enumerate(names) for j in range(2)]
     assert set(lid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string")).langs) == set(names)
+
+
+def test_a_hundred_languages(spark):
+    """Eighty of one's own family each, and twenty of one family; texts of a language share its letters."""
+    rng = random.Random(3)
+    families = [f"q{i}" for i in range(80)] + [f"en-{i}" for i in range(20)]
+    alphabet = {name: ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(3)) for _ in range(6)] for name in families}
+    make = lambda name: " ".join(rng.choice(alphabet[name]) for _ in range(60))
+    model = lid.fit(spark.createDataFrame([(i, make(n), n) for i, n in enumerate(families * 5)], "doc_id long, text string, lang string"))
+    assert len(model.langs) == 100 and len(model.pairs) == 81 * 80 // 2 + 20 * 19 // 2 and (abs(model.weights).sum(1) > 0).all()
+    got = lid.predict(spark.createDataFrame([(i, make(n), n) for i, n in enumerate(families)], "doc_id long, text string, lang string"), model).collect()
+    assert np.mean([r["lang"] == r["lang_pred"] for r in got]) >= 0.95
+
+
+def plain_features(t):
+    """What features() does, character by character."""
+    low = [b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in t.encode()]
+    x = [0.0] * lid.DIMS
+    for a, b, c in zip(low, low[1:], low[2:]):
+        x[((a << 16 | b << 8 | c) * 2654435761 % (1 << 32)) >> 21] += 1
+    x = [v**0.5 for v in x]
+    norm = sum(v * v for v in x) ** 0.5
+    return [v / norm for v in x] if norm else x
+
+
+def test_features_equal_plain_ones():
+    texts = ["", "ab", "Abc", "Été à la plage, 42 fois!", "the THE the", "漢字かな", "x" * 3000]
+    raw = [t.encode() for t in texts]
+    offsets = np.r_[0, np.cumsum([len(r) for r in raw])]
+    got = lid.features(np.frombuffer(b"".join(raw), np.uint8), offsets)
+    assert np.allclose(got, [plain_features(t) for t in texts], atol=1e-6)
+
+
+def test_predictions_equal_plain_duels(model):
+    """The family with the most won duels, then the language in it; equal votes go to the surer one."""
+    rng = random.Random(9)
+    texts = [text(rng, lang, 4) for lang in SYLLABLES for _ in range(20)]
+    x = np.array([plain_features(t) for t in texts], np.float32)
+    langs, scores = model.predict(x)
+    weight = {p: w for p, w in zip(model.pairs, model.weights)}
+
+    def winner(v, names):
+        votes, sure = {n: 0 for n in names}, {n: 1.0 for n in names}
+        for a in names:
+            for b in names:
+                if (a, b) in weight:
+                    p = 1 / (1 + np.exp(-4 * float(np.dot(weight[a, b][:-1], v) + weight[a, b][-1])))
+                    votes[a if p > 0.5 else b] += 1
+                    sure[a], sure[b] = min(sure[a], p), min(sure[b], 1 - p)
+        best = max(names, key=lambda n: votes[n] + sure[n] / 2)
+        return best, sure[best]
+
+    for v, lang, score in zip(x, langs, scores):
+        family, p = winner(v, sorted({"/" + lid.family_of(n) for n in model.langs}))
+        want, q = winner(v, sorted(n for n in model.langs if "/" + lid.family_of(n) == family))
+        assert lang == want and abs(score - p * q) < 1e-4
+
+
+def test_machine_is_near_its_optimum():
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((200, 12)).astype(np.float32)
+    y = np.where(x[:, 0] + 0.5 * rng.standard_normal(200) > 0.4, 1.0, -1.0)
+    full = np.c_[x, np.ones(200)]
+    weight = np.where(y > 0, 0.5 / (y > 0).sum(), 0.5 / (y <= 0).sum())
+    loss = lambda w: (weight * np.maximum(0, 1 - y * (full @ w)) ** 2).sum() + w @ w / 200
+    plain = np.zeros(13)
+    for _ in range(20000):
+        plain -= 0.02 * (plain / 100 - 2 * full.T @ (weight * np.maximum(0, 1 - y * (full @ plain)) * y))
+    assert loss(lid.fit_machine(x, y)) <= loss(plain) * 1.02
+
+
+def test_clashing_columns_give_way(spark, model):
+    df = spark.createDataFrame([(1, "the hand and the thing", 2, 3.0, 4)], "doc_id long, text string, LANG_PRED int, score double, TEXT int")
+    assert lid.predict(df, model).columns == ["doc_id", "text", "lang_pred", "score"]
