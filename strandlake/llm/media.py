@@ -12,10 +12,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm._store import pick
+from strandlake.llm._store import pick, spread
+from strandlake.llm._text import slices
 
 #: Bytes of a sample, samples of a chunk, samples from one keyframe to the next, and ticks of a second, in files that mux() writes.
 SAMPLE, CHUNK, KEYFRAMES, TIMESCALE = 64, 128, 16, 8000
+#: Levels that boxes are followed down to; real files have about ten.
+DEPTH = 32
 #: Boxes that only hold boxes (fixed values of the format).
 CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"dinf", b"mvex", b"moof", b"traf"}
 
@@ -59,47 +62,60 @@ def mux(payload: bytes) -> bytes:
     return head + mdat + _box(b"moov", mvhd, trak)
 
 
-def walk(data: bytes, begin: int = 0, end: int | None = None, path: tuple = ()) -> Iterator[tuple[tuple, int, int]]:
-    """(path, body start, body end) of every box, nested ones after their container. A box that runs past its container ends the level."""
-    end = len(data) if end is None else end
-    while begin + 8 <= end:
+def walk(data: bytes) -> Iterator[tuple[tuple, int, int]]:
+    """(path, body start, body end) of every box, nested ones after their container. A box that runs past its container ends the level; boxes below DEPTH levels are not followed."""
+    levels: list[tuple[int, int, tuple]] = [(0, len(data), ())]
+    while levels:
+        begin, end, path = levels.pop()
+        if begin + 8 > end:
+            continue
         size, kind = struct.unpack_from(">I4s", data, begin)
         body = begin + 8
         if size == 1:
             if body + 8 > end:
-                return
+                continue
             (size,) = struct.unpack_from(">Q", data, body)
             body += 8
         elif size == 0:
             size = end - begin
         if begin + size > end or body > begin + size:
-            return
+            continue
         yield (*path, kind), body, begin + size
-        if kind in CONTAINERS:
-            yield from walk(data, body, begin + size, (*path, kind))
-        begin += size
+        levels.append((begin + size, end, path))
+        if kind in CONTAINERS and len(path) + 1 < DEPTH:
+            levels.append((body, begin + size, (*path, kind)))
 
 
 def _tables(data: bytes, boxes: dict[bytes, tuple[int, int]]) -> dict:
-    """One track's sample tables: byte offset, size and duration of each sample, and which are keyframes."""
+    """One track's sample tables: byte offset, size and duration of each sample, and which are keyframes.
+
+    No table is read beyond its box, and no more samples than bytes of the file
+    are made of one, whatever the counts in it say.
+    """
 
     def ints(kind: bytes, skip: int, width: int, count: int, what: str = ">u4") -> np.ndarray:
         begin, end = boxes[kind]
-        count = min(count * width, (end - begin - skip) // np.dtype(what).itemsize) // width * width
+        count = min(count * width, max(0, end - begin - skip) // np.dtype(what).itemsize) // width * width
         return np.frombuffer(data, what, count, begin + skip).astype(np.int64).reshape(-1, width)
 
     count = lambda kind, at=4: struct.unpack_from(">I", data, boxes[kind][0] + at)[0] if kind in boxes else 0
     same, n = count(b"stsz"), count(b"stsz", 8)
+    if same and n * same > len(data):
+        raise ValueError("samples of more bytes than the file has")
     sizes = np.full(n, same, np.int64) if same else ints(b"stsz", 12, 1, n)[:, 0] if n else np.zeros(0, np.int64)
     if b"co64" in boxes:
         chunks = ints(b"co64", 8, 1, count(b"co64"), ">u8")[:, 0]
     else:
         chunks = ints(b"stco", 8, 1, count(b"stco"))[:, 0] if count(b"stco") else np.zeros(0, np.int64)
     runs = ints(b"stsc", 8, 3, count(b"stsc")) if count(b"stsc") else np.zeros((0, 3), np.int64)
-    per = np.zeros(len(chunks), np.int64)
-    for i, (begin, samples, _) in enumerate(runs):
-        per[begin - 1 : runs[i + 1][0] - 1 if i + 1 < len(runs) else None] = samples
-    chunk = np.repeat(np.arange(len(chunks)), per)[: len(sizes)]
+    firsts = runs[:, 0]
+    if len(runs) and (firsts[0] < 1 or (np.diff(firsts) <= 0).any()):
+        raise ValueError("chunk runs out of order")
+    # each chunk's run is the last that begins with it or before
+    run = np.searchsorted(firsts, np.arange(1, len(chunks) + 1), "right") - 1
+    per = np.where(run >= 0, np.minimum(runs[run, 1], len(sizes)), 0) if len(runs) else np.zeros(len(chunks), np.int64)
+    held = np.minimum(np.cumsum(per), len(sizes))
+    chunk = np.repeat(np.arange(len(chunks)), np.diff(held, prepend=0))
     sizes = sizes[: len(chunk)]
     start = np.cumsum(sizes) - sizes
     opens = np.zeros(len(chunks), np.int64)
@@ -107,13 +123,16 @@ def _tables(data: bytes, boxes: dict[bytes, tuple[int, int]]) -> dict:
         new = np.flatnonzero(np.diff(chunk, prepend=-1))
         opens[chunk[new]] = start[new]
         start = start - opens[chunk] + chunks[chunk]
-    times = ints(b"stts", 8, 2, count(b"stts")) if count(b"stts") else np.zeros((0, 2), np.int64)
+    times = ints(b"stts", 8, 2, count(b"stts")).tolist() if count(b"stts") else []
     keys = ints(b"stss", 8, 1, count(b"stss"))[:, 0] - 1 if b"stss" in boxes and count(b"stss") else np.arange(len(sizes)) if b"stss" not in boxes else np.zeros(0, np.int64)
-    return {"offset": start, "size": sizes, "ticks": int((times[:, 0] * times[:, 1]).sum()), "keys": keys[keys < len(sizes)]}
+    return {"offset": start, "size": sizes, "ticks": sum(samples * ticks for samples, ticks in times), "keys": keys[(keys >= 0) & (keys < len(sizes))]}
 
 
 def probe(data: bytes | None) -> dict | None:
-    """The first track of a file: codec, timescale, ticks, samples, and keyframe (offset, size) ranges; sample bytes stay as they are. None if no track can be read."""
+    """The first track of a file: codec, timescale, ticks, samples, and keyframe (offset, size) ranges; sample bytes stay as they are.
+
+    None if no track can be read, or if its tables speak of bytes that the file does not have.
+    """
     boxes: dict[bytes, tuple[int, int]] = {}
     for path, begin, end in walk(data or b""):
         if path[-1] == b"trak" and b"stbl" in boxes:
@@ -126,6 +145,8 @@ def probe(data: bytes | None) -> dict | None:
         t = _tables(data, boxes)
     except (KeyError, struct.error, ValueError, IndexError):
         return None
+    if len(t["offset"]) and (t["offset"].min() < 0 or t["offset"].max() > len(data) or (t["offset"] + t["size"]).max() > len(data)):
+        return None
     t |= {"codec": codec, "timescale": timescale, "key_offset": t["offset"][t["keys"]], "key_size": t["size"][t["keys"]]}
     return t
 
@@ -146,10 +167,9 @@ def padded(text: bytes) -> bytes:
 
 def _mux_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = batch.column(1).cast(pa.binary())
-        for k in range(0, len(texts), 256):
-            part = [x.as_py() or b"" for x in texts[k : k + 256]]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 256), pa.array([len(x) for x in part], pa.int64()), pa.array([mux(padded(x)) for x in part], pa.binary())], names=["doc_id", "n_bytes", "media"])
+        for row, data, offsets in slices(batch.column(1)):
+            part = [data[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(part)), pa.array([len(x) for x in part], pa.int64()), pa.array([mux(padded(x)) for x in part], pa.binary())], names=["doc_id", "n_bytes", "media"])
 
 
 def store(docs: DataFrame) -> DataFrame:
@@ -158,7 +178,7 @@ def store(docs: DataFrame) -> DataFrame:
     Null and empty texts are 64 bytes 0. Equal texts give equal files. Rows are
     independent; repeated rows, a null doc_id and extra columns change nothing.
     """
-    return pick(docs, "doc_id", "text").mapInArrow(_mux_batches, "doc_id long, n_bytes long, media binary")
+    return spread(pick(docs, "doc_id", "text")).mapInArrow(_mux_batches, "doc_id long, n_bytes long, media binary")
 
 
 _DESCRIBED = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, codec string, duration_s double, samples long, key_offset array<long>, key_size array<long>"
@@ -191,7 +211,8 @@ def describe(media: DataFrame) -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
+    """Every document's text as a media file, read back: digests, codec, duration and keyframe byte ranges; equal texts give equal values."""
     out = describe(store(spark.read.parquet(f"{sf_dir}/documents.parquet")))
     ranges = F.crc32(F.encode(F.concat(F.to_json("key_offset"), F.to_json("key_size")), "UTF-8"))
     feature = F.format_string("%s;%.3fs;%d samples;%d keyframes;%d", F.trim("codec"), "duration_s", "samples", F.size("key_offset"), ranges)
-    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
+    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"), "codec", "duration_s", "key_offset", "key_size")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import bisect
 import math
 import zlib
 from collections.abc import Iterator
@@ -52,16 +51,24 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, size: int = 2048, end_
     return pick(docs, "doc_id", "text").mapInArrow(partial(_piece_batches, tokenizer=tokenizer, size=size, end_id=end_id), _PIECES)
 
 
-def sum_of_squares(lengths: np.ndarray, size: int) -> np.ndarray:
+def sum_of_squares(lengths: np.ndarray, size: int, loads: np.ndarray | None = None) -> np.ndarray:
     """The bin of each length, in the given order.
 
     count[g] is the number of open bins with gap g. A piece goes where the sum of
     squared counts becomes smallest, a new bin included; of equal choices, where
     least room stays. Full bins have gap 0 and count as closed.
+
+    With ``loads``, bins of those loads are there from the start, and a new one is
+    opened only for a piece that fits none.
     """
     count = np.zeros(size + 1, np.int64)
     bins: list[list[int]] = [[] for _ in range(size + 1)]
     used = 0
+    for load in () if loads is None else loads.tolist():
+        if load < size:
+            bins[size - load].append(used)
+            count[size - load] += 1
+        used += 1
     where = np.empty(len(lengths), np.int64)
     for i, n in enumerate(lengths.tolist()):
         # how the sum changes if a bin of gap g + n gets gap g; at g = 0 the bin closes and counts no more
@@ -71,7 +78,8 @@ def sum_of_squares(lengths: np.ndarray, size: int) -> np.ndarray:
         change[before == 0] = 1 << 60
         g = int(change.argmin())
         best = int(change[g])
-        if n == size or best > 2 * count[size - n] + 1 or best >= 1 << 60:
+        none = best >= 1 << 60
+        if none or (loads is None and (n == size or best > 2 * count[size - n] + 1)):
             place, gap = used, size - n
             used += 1
         else:
@@ -85,37 +93,30 @@ def sum_of_squares(lengths: np.ndarray, size: int) -> np.ndarray:
     return where
 
 
-def fill_gaps(lengths: np.ndarray, where: np.ndarray, size: int) -> np.ndarray:
-    """The bins after the emptiest ones are dissolved and their pieces, long ones first, placed where they fit best; as it was if that saves none.
+def dissolve(lengths: np.ndarray, where: np.ndarray, size: int) -> np.ndarray:
+    """The bins after the emptiest ones are dissolved and their pieces, long ones first, placed anew by the same rule; as it was if that saves none.
 
-    The sum-of-squares rule keeps bins of many gaps open for pieces to come; when
-    none come, this closes them.
+    The sum-of-squares rule keeps bins of many gaps open for pieces to come. When
+    none come, the last bins' pieces do.
     """
     load = np.bincount(where, weights=lengths).astype(np.int64)
     spare = len(load) - -(-int(lengths.sum()) // size)
-    if spare <= 0:
-        return where
-    goes = np.zeros(len(load), bool)
-    goes[np.argsort(load, kind="stable")[: 8 * spare + 8]] = True
-    stay = np.flatnonzero(~goes)
-    gaps = sorted((size - int(load[b]), int(b)) for b in stay if load[b] < size)
-    free = np.flatnonzero(goes)[::-1].tolist()
-    new, opened = where.copy(), 0
-    moving = np.flatnonzero(goes[where])
-    for i in moving[np.argsort(-lengths[moving], kind="stable")].tolist():
-        n = int(lengths[i])
-        at = bisect.bisect_left(gaps, (n, -1))
-        if at == len(gaps):
-            if not free:
-                return where
-            gap, b = size, free.pop()
-            opened += 1
-        else:
-            gap, b = gaps.pop(at)
-        new[i] = b
-        if gap > n:
-            bisect.insort(gaps, (gap - n, b))
-    return new if opened < goes.sum() else where
+    for more in (1, 2, 4, 8, 16):
+        if spare <= 0 or more * spare > len(load):
+            break
+        order = np.argsort(load, kind="stable")
+        goes, stays = order[: more * spare], order[more * spare :]
+        name = np.full(len(load), -1)
+        name[stays] = np.arange(len(stays))
+        moving = np.flatnonzero(name[where] < 0)
+        moving = moving[np.argsort(-lengths[moving], kind="stable")]
+        new = name[where]
+        new[moving] = sum_of_squares(lengths[moving], size, load[stays])
+        if new.max() + 1 < len(load):
+            where = new
+            load = np.bincount(where, weights=lengths).astype(np.int64)
+            spare = len(load) - -(-int(lengths.sum()) // size)
+    return where
 
 
 def offsets_in(where: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -132,7 +133,7 @@ def offsets_in(where: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 def _pack_group(group: pd.DataFrame, size: int) -> pd.DataFrame:
     group = group.sort_values(["length", "row"], ascending=[False, True], kind="stable")
     lengths = group["length"].to_numpy()
-    where = fill_gaps(lengths, sum_of_squares(lengths, size), size)
+    where = dissolve(lengths, sum_of_squares(lengths, size), size)
     return pd.DataFrame({**{c: group[c] for c in ("doc_id", "piece", "start", "length", "ids_crc32")}, "sequence_id": group["grp"].to_numpy() * (1 << 32) + where, "offset": offsets_in(where, lengths)})
 
 
@@ -141,8 +142,8 @@ def pack(docs: DataFrame, tokenizer: str | None = None, size: int = 2048, end_id
 
     Pieces are dealt evenly into groups of about GROUP, whose number grows with
     the input; each group is packed on its own, long pieces first, by the
-    sum-of-squares rule, and then its emptiest sequences are dissolved if others
-    can take their pieces.  Dealing goes by row number, so neither repeated rows nor
+    sum-of-squares rule, and then its emptiest sequences are dissolved and their
+    pieces placed anew by the same rule, if that saves sequences.  Dealing goes by row number, so neither repeated rows nor
     a long document meet in one task.  Null text is empty; a null doc_id and
     repeated rows are packed like others; extra columns are ignored; no rows give
     no sequences.

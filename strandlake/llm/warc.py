@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,19 +24,30 @@ def base32_sha1(payload: Column) -> Column:
     return F.translate(F.concat(*groups), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
-def write(pages: DataFrame, path: str) -> None:
-    """Write one record per row of pages (page_id, html) into uncompressed WARC files under path.
+def _target(url: Column, page_id: Column) -> Column:
+    """The URI of a page: its url without control characters and with blanks as %20, or one made of its number where there is none."""
+    plain = F.replace(F.regexp_replace(url, "[\\x00-\\x1f\\x7f]", ""), F.lit(" "), F.lit("%20"))
+    return F.when(F.length(plain) > 0, plain).otherwise(F.concat(F.lit("urn:page:"), F.coalesce(page_id.cast("string"), F.lit("null"))))
+
+
+def write(pages: DataFrame, path: str, date: datetime | None = None) -> None:
+    """Write one record per row of pages (page_id, html, and url if there is one) into uncompressed WARC files under path.
 
     Of records with equal payloads the one with the largest page_id is a response
     that carries the payload; the others are revisits that name its record and
-    carry the payload's digest and length.  Spark's text writer commits the files:
-    its separator is the end of a WARC record.
+    carry the payload's digest and, in the extension field X-Payload-Bytes, its
+    length.  Every record has the fields that the format demands; its date is
+    ``date``, or now.  Spark's text writer commits the files: its separator is the
+    end of a WARC record.
 
-    Null html is an empty payload.  A null page_id counts as smaller than any.
+    Null html is an empty payload; a null url names the page by its number.  A null page_id counts as smaller than any.
     Rows that repeat a page_id and a payload are all responses or all revisits.
     Extra columns are ignored; no rows give an archive without records.
     """
-    rows = pick(pages, "page_id", "html").select("page_id", F.coalesce("html", F.lit("")).alias("html"))
+    with_url = any(c.lower() == "url" for c in pages.columns)
+    rows = pick(pages, "page_id", "html", "url") if with_url else pick(pages, "page_id", "html").withColumn("url", F.lit(None).cast("string"))
+    rows = rows.select("page_id", F.coalesce("html", F.lit("")).alias("html"), _target(F.col("url").cast("string"), F.col("page_id")).alias("target"))
+    at = (date or datetime.now(timezone.utc)).astimezone(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     rows = rows.withColumn("digest", base32_sha1(F.encode("html", "UTF-8")))
     narrow = rows.select("page_id", "digest")
     shared = narrow.groupBy("digest").agg(F.max("page_id").alias("of"), F.count("*").alias("n")).where((F.col("n") > 1) & F.col("of").isNotNull()).drop("n")
@@ -51,9 +64,11 @@ def write(pages: DataFrame, path: str) -> None:
         F.when(again, F.lit("WARC-Type: revisit\r\n")).otherwise(F.lit("WARC-Type: response\r\n")),
         F.lit("WARC-Record-ID: "),
         named(F.col("page_id")),
-        F.lit("WARC-Payload-Digest: sha1:"),
+        F.lit(f"WARC-Date: {at}\r\nWARC-Target-URI: "),
+        F.col("target"),
+        F.lit("\r\nWARC-Payload-Digest: sha1:"),
         F.col("digest"),
-        F.lit("\r\nWARC-Payload-Length: "),
+        F.lit("\r\nX-Payload-Bytes: "),
         F.octet_length("html").cast("string"),
         F.lit("\r\n"),
         F.when(again, F.concat(F.lit("WARC-Refers-To: "), named(F.col("of")), F.lit(f"WARC-Profile: {_PROFILE}\r\n"))).otherwise(F.lit("Content-Type: application/http; msgtype=response\r\n")),
@@ -121,7 +136,7 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
     seg = seg.select(
         "file", "block", "n", (size + len(MAGIC)).cast("long").alias("seg_bytes"), (F.lit(len(MAGIC)) + head_bytes + 4 + length + 4).alias("step"), length.alias("length"),
         _header(value, "WARC-Type").alias("type"), page(_header(value, "WARC-Record-ID")).alias("page_id"), page(_header(value, "WARC-Refers-To")).alias("refers_to"),
-        F.regexp_extract(_header(value, "WARC-Payload-Digest"), "sha1:([A-Z2-7]+)", 1).alias("digest"), _header(value, "WARC-Payload-Length").try_cast("long").alias("declared"),
+        F.regexp_extract(_header(value, "WARC-Payload-Digest"), "sha1:([A-Z2-7]+)", 1).alias("digest"), _header(value, "X-Payload-Bytes").try_cast("long").alias("declared"),
         whole.alias("whole"), F.when(whole & (length > 0), _payload(block)).alias("payload"),
     )
     seg = seg.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": F.when(F.col("payload").isNotNull(), base32_sha1(F.col("payload")))}).drop("payload")
@@ -132,7 +147,7 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
     seg = seg.withColumn("inside", F.coalesce(F.sum("seg_bytes").over(inside), F.lit(0))).join(starts, ["file", "block"])
     at = F.col("start") + F.col("inside") - len(MAGIC)
     # the text before a file's first magic is a segment too, but no candidate
-    return seg.withColumns({"at": at, "block_end": F.col("start") + F.col("bytes") - len(MAGIC)}).withColumn("to", F.when(F.col("at") >= 0, F.col("at") + F.col("step"))).drop("inside", "start", "bytes", "step")
+    return seg.withColumns({"at": at, "block_end": F.col("start") + F.col("bytes") - len(MAGIC)}).withColumn("to", F.when(F.col("at") >= 0, F.col("at") + F.col("step"))).drop("start", "bytes", "step")
 
 
 def _payload(block: Column) -> Column:
@@ -187,10 +202,14 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     if marked.where("ok and not whole and type != 'revisit'").isEmpty():
         return plain
     owner = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    owned = marked.select("file", "block", "n", "at", "whole", "type", "page_id", "length", F.last(F.when(F.col("ok"), F.col("at")), ignorenulls=True).over(owner).alias("of"))
+    owned = marked.select("file", "block", "inside", "at", "whole", "type", "page_id", "length", F.last(F.when(F.col("ok"), F.col("at")), ignorenulls=True).over(owner).alias("of"))
     split = owned.where("at = of and not whole and type != 'revisit'").select("file", "of", F.col("page_id").alias("owner"), F.col("length").alias("owner_length"))
-    pieces = cut(owned.select("file", "block", "n", "at", "of").join(split, ["file", "of"]), "warc-pieces")
-    text = _segments(spark, path).join(pieces, ["file", "block", "n"]).groupBy("file", "of", "owner", "owner_length").agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("parts"))
+    pieces = cut(owned.select("file", "block", "inside", "at", "of").join(split, ["file", "of"]), "warc-pieces")
+    # the splits that hold such payloads are read once more; a segment is known by its split and its byte offset in it
+    where = small_or_shuffled(cut(pieces.select("file", "block").distinct(), "warc-split-blocks"), 24)
+    again = _segments(spark, path).join(where, ["file", "block"], "left_semi")
+    again = again.withColumn("inside", F.coalesce(F.sum(F.octet_length("value") + len(MAGIC)).over(Window.partitionBy("file", "block").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    text = again.join(pieces, ["file", "block", "inside"]).groupBy("file", "of", "owner", "owner_length").agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("parts"))
     full = F.array_join(F.transform("parts", lambda p: p["value"]), MAGIC)
     head_bytes = F.octet_length(F.substring_index(full, _END, 1))
     payload = _payload(F.substring(F.encode(full, "UTF-8"), head_bytes + 5, F.col("owner_length").cast("int")))
@@ -199,6 +218,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
+    """Every page's record, written to archives and read back from them."""
     path = fresh_path(spark, "warc")
     write(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
     return read(spark, path)

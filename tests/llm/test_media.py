@@ -33,6 +33,48 @@ def test_what_cannot_be_read_has_no_track(data):
     assert media.probe(data) is None
 
 
+def _patched(kind, skip, value):
+    """A file in which the number that lies skip bytes into a box's body is another."""
+    data = bytearray(media.mux(bytes(64 * 40)))
+    begin = next(a for p, a, _ in media.walk(bytes(data)) if p[-1] == kind)
+    data[begin + skip : begin + skip + 4] = struct.pack(">I", value)
+    return bytes(data)
+
+
+@pytest.mark.parametrize("kind,skip", [(b"stsz", 4), (b"stsz", 8), (b"stsc", 4), (b"stsc", 8), (b"stsc", 12), (b"stco", 4), (b"stco", 8), (b"stss", 4), (b"stss", 8), (b"stts", 4), (b"stts", 8), (b"stts", 12), (b"mdhd", 20)])
+@pytest.mark.parametrize("value", [0, 1, 0x7FFFFFFF, 0xFFFFFFFF])
+def test_crafted_numbers(kind, skip, value):
+    """No count, size or offset of a table makes the reader ask for much memory, crash, or return bytes that are not there."""
+    data = _patched(kind, skip, value)
+    track = media.probe(data)
+    if track is not None:
+        assert len(track["size"]) <= len(data) and len(media.stored_payload(data, track)) == track["size"].sum()
+        assert all(0 <= a and a + n <= len(data) for a, n in zip(track["key_offset"], track["key_size"]))
+
+
+def test_ranges_outside_the_file_are_no_track():
+    assert media.probe(_patched(b"stco", 8, 1 << 30)) is None and media.probe(_patched(b"stsz", 8, 1 << 30)) is None
+
+
+def test_deep_boxes():
+    data = b""
+    for _ in range(3000):
+        data = struct.pack(">I4s", 8 + len(data), b"moov") + data
+    assert media.probe(data) is None and sum(1 for _ in media.walk(data)) == media.DEPTH
+
+
+def test_query_features(spark, tmp_path, make_docs):
+    make_docs(EDGES, clash=False).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = media.query(spark, str(tmp_path)).collect()
+    assert len(got) == len(EDGES)
+    for r in got:
+        samples = r["payload_bytes"] // media.SAMPLE
+        keys = -(-samples // media.KEYFRAMES)
+        assert r["feature"].startswith(f"raw;{r['payload_bytes'] / media.TIMESCALE:.3f}s;{samples} samples;{keys} keyframes;")
+        first = r["key_offset"][0]
+        assert list(r["key_offset"]) == [first + k * media.KEYFRAMES * media.SAMPLE for k in range(keys)] and list(r["key_size"]) == [media.SAMPLE] * keys
+
+
 def test_truncated_files_do_not_crash():
     data = media.mux(bytes(64 * 200))
     for n in range(0, len(data), 37):

@@ -30,6 +30,13 @@ def test_ids_are_those_of_the_library():
     assert ids_of(texts) == ids_of(texts)  # from memory
 
 
+def test_words_that_collide_under_polynomial_hashes():
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    texts = [one, one.translate(str.maketrans("ab", "ba")), f"{one} {one.translate(str.maketrans('ab', 'ba'))}"]
+    library = Tokenizer.from_file(PATH)
+    assert ids_of(texts) == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_every_token_encodes_to_itself():
     """Then merging by the rank of the joined bytes is merging by the rank of the pair, so the fast path is exact."""
     with open(PATH, encoding="utf-8") as f:
@@ -42,11 +49,11 @@ def test_every_token_encodes_to_itself():
 
 
 def test_memory_is_bounded(monkeypatch):
-    monkeypatch.setattr("strandlake.llm.tokens.REMEMBERED", 50)
+    monkeypatch.setattr("strandlake.llm.tokens.REMEMBERED", 20)
     words = WordTokenizer(PATH)
-    texts = [f"alpha{i} beta{i} gamma" for i in range(200)]
+    texts = [f"alpha{i} beta{i} gamma" for i in range(60)]
     got = [x.tolist() for t in texts for _, d, o in slices(pa.array([t])) for x in words.encode(d, o)]
-    assert got == [Tokenizer.from_file(PATH).encode(t, add_special_tokens=False).ids for t in texts] and len(words.known) <= 53
+    assert got == [Tokenizer.from_file(PATH).encode(t, add_special_tokens=False).ids for t in texts] and len(words.known) <= 23
 
 
 def slow_sum_of_squares(lengths, size):
@@ -88,7 +95,7 @@ def test_gaps_are_filled():
     rng = np.random.default_rng(5)
     lengths = np.sort(rng.integers(1, 900, 4000))[::-1]
     first = packing.sum_of_squares(lengths, 2048)
-    where = packing.fill_gaps(lengths, first, 2048)
+    where = packing.dissolve(lengths, first, 2048)
     load = np.bincount(where, weights=lengths)
     assert load.max() <= 2048 and len(set(where.tolist())) <= len(set(first.tolist()))
     assert len(set(where.tolist())) <= 1.01 * -(-lengths.sum() // 2048)

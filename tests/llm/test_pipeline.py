@@ -1,10 +1,12 @@
 import random
 
+import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
-from strandlake.llm import mixing
+from strandlake.llm import _store, mixing
 from tests.llm.conftest import DOCS
 from tests.llm.test_language_id import text
 from tests.llm.test_line_dedup import brute as brute_lines
@@ -49,7 +51,12 @@ def test_language_stage_rejects_texts_without_language(kept):
     (before, after, *_), _ = kept
     letters = {r["doc_id"] for r in before if any(c.isalpha() for c in r["text"] or "")}
     assert {r["doc_id"] for r in after} == letters
-    assert {tuple(r) for r in after} <= {tuple(r) for r in before}
+    known = {r["doc_id"]: r for r in before}
+    for r in after:
+        # a missing language is the predicted one
+        assert r["lang"] == (known[r["doc_id"]]["lang"] or r["lang"]) and r["lang"] in {"en", "de", "fr", "es"}
+        assert (r["text"], r["source"], r["n_chars"]) == (known[r["doc_id"]]["text"], known[r["doc_id"]]["source"], known[r["doc_id"]]["n_chars"])
+    assert any(known[r["doc_id"]]["lang"] is None for r in after)
 
 
 def test_line_stage(kept):
@@ -66,8 +73,13 @@ def test_near_duplicate_stage_keeps_one_of_each_group(kept):
 
 
 def test_mixing_stage(spark, kept):
+    """The rows are those of the mixing operator's SQL, at the pipeline's target and with one epoch."""
     (_, _, _, before, after), _ = kept
-    taken = {r["doc_id"] for r in mixing.mix(spark.createDataFrame(before, DOCS), cp.MIX_SHARE, 1).collect()}
+    sql = mixing.SQL.replace("sum(tokens) * 0.5", f"sum(tokens) * {cp.MIX_SHARE}").replace("2 * sum(n_tokens)", "1 * sum(n_tokens)")
+    assert sql.count(f"* {cp.MIX_SHARE}") == 1 and sql.count("1 * sum(n_tokens)") == 1
+    db = duckdb.connect()
+    db.register("documents", pa.Table.from_pylist([r.asDict() for r in before]))
+    taken = {r[0] for r in db.execute(sql).fetchall()}
     assert {r["doc_id"] for r in after} == taken and 0 < len(after) < len(before)
 
 
@@ -82,7 +94,10 @@ def test_packing_stage(kept):
 
 def test_run_writes_and_rereads(spark, tmp_path, corpus, kept):
     corpus.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    before = set(_store._written[spark.sparkContext.applicationId])
     got = cp.run(spark, str(tmp_path))
+    # one table is left, the one that the result reads
+    assert len(set(_store._written[spark.sparkContext.applicationId]) - before) == 1
     assert sorted((r["doc_id"], r["piece"], r["ids_crc32"]) for r in got.collect()) == sorted((r["doc_id"], r["piece"], r["ids_crc32"]) for r in kept[1])
 
 

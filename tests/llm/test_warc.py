@@ -2,6 +2,7 @@ import base64
 import hashlib
 import random
 import re
+from datetime import datetime, timezone
 from pathlib import Path
 
 import pytest
@@ -69,6 +70,20 @@ def test_offsets_are_those_of_the_bytes(spark):
     assert sorted(r["at"] for r in warc.candidates(spark, path).where("at >= 0").collect()) == want
 
 
+def test_records_have_the_fields_of_the_format(spark):
+    path = fresh_path(spark, "warc-fields")
+    rows = [(1, "x", "http://a.b/c d"), (2, "x", "http://e.f/\r\nWARC-Type: warcinfo"), (3, "y", None), (None, "z", "")]
+    warc.write(spark.createDataFrame(rows, "page_id long, html string, URL string"), path, datetime(2024, 5, 6, 7, 8, 9, tzinfo=timezone.utc))
+    raw = b"".join(p.read_bytes() for p in Path(path.removeprefix("file://")).glob("part-*")).decode()
+    heads = [r.split("\r\n\r\n")[0].split("\r\n") for r in raw.split("WARC/1.1\r\n")[1:]]
+    fields = [dict(line.split(": ", 1) for line in head) for head in heads]
+    for head, f in zip(heads, fields):
+        assert len(head) == len(f) and {"WARC-Type", "WARC-Record-ID", "WARC-Date", "WARC-Target-URI", "Content-Length"} <= set(f) and f["WARC-Date"] == "2024-05-06T07:08:09Z"
+        assert f["WARC-Type"] == "response" or {"WARC-Profile", "WARC-Refers-To"} <= set(f)
+    assert {f["WARC-Record-ID"]: f["WARC-Target-URI"] for f in fields} == {"<urn:page:1>": "http://a.b/c%20d", "<urn:page:2>": "http://e.f/WARC-Type:%20warcinfo", "<urn:page:3>": "urn:page:3", "<urn:page:null>": "urn:page:null"}
+    assert sorted(str(r["page_id"]) for r in warc.read(spark, path).collect()) == ["1", "2", "3", "None"]
+
+
 def test_no_rows_and_repeated_rows(spark):
     assert round_trip(spark, [])[0] == []
     rows = [(1, "x"), (1, "x"), (2, "x"), (2, "x")]
