@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm._store import cut, pick
+from strandlake.llm._store import cut, pick, spread
 from strandlake.llm._text import slices
 
 #: The most labelled rows that the classifier is fitted on, and the most features it has.
@@ -31,6 +32,8 @@ LEET = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i",
 }
+#: Letters of other alphabets that look like Latin ones (fixed values).
+LOOKS = dict(zip("асеіјорѕухһԁαβεικνορτυχ", "aceijopsyxhdabeiknoptux"))
 #: Characters that hide any letter, and those that are put between letters (fixed values).
 MASKS, SEPARATORS = "*#", " .-_*~'"
 #: Costs, in nats, of a stand-in, a hidden letter, a dropped separator, one that ends a word, and of a run of letters read as one or as two (fixed values).
@@ -48,12 +51,14 @@ _WORD = re.compile(r"[^\W\d_]+")
 #: Letters, stand-ins or masks spelled one by one: s t u p i d, s.t.u.p.i.d, 1 d 1 0 t.
 _ONE = rf"(?:[^\W_]|[{_LEETS}{MASKS}])"
 _SPELLED = re.compile(rf"(?<![^\W_]){_ONE}(?:[ .\-_*~']{{1,3}}{_ONE}(?![^\W_])){{2,}}")
-#: Stretches of a token that may be one disguised word: letters mixed with stand-ins or masks (1d10t, $tup1d, mor*n), with separators (stu.pid), or with a letter three times or more (stuuupid).
+#: Stretches of a token that may be one disguised word: letters mixed with stand-ins, masks or look-alikes (1d10t, $tup1d, mor*n), with separators (stu.pid), or with a letter twice or more (stuupiid).
 _STRETCH = re.compile(rf"[\w{_LEETS}{MASKS}\-.~']+")
 _SPLIT = re.compile(r"[^\W_][.\-_~']+[^\W_]")
 _MARKS = re.compile(r"^[^\w]{2,}|[^\w]{2,}$")
-_RUN = re.compile(r"([^\W\d_])\1\1")
-_NOISE = frozenset(LEET) | frozenset(MASKS)
+_RUN = re.compile(r"([^\W\d_])\1")
+_RUNS = re.compile(r"([^\W\d_])\1+")
+_LATIN = re.compile("[a-z]")
+_NOISE = frozenset(LEET) | frozenset(MASKS) | frozenset(LOOKS)
 #: Longer stretches are decoded in parts of so many characters, each of which overlaps the last by half.
 PART = 64
 #: Distinct tokens that a worker remembers; beyond, it starts anew, which costs time only.
@@ -91,10 +96,14 @@ def _arcs(token: str) -> list[list[tuple[int, str, float]]]:
             run += 1
         here: list[tuple[int, str, float]] = []
         reads = [(c, 0.0)] if letters[i] else [(x, SWAP_COST) for x in LEET.get(c, "")]
+        if c in LOOKS:
+            reads.append((LOOKS[c], SWAP_COST))
         for x, cost in reads:
             here.append((i + 1, x, cost))
+            if run - i >= 2:
+                here.append((run, x, cost + RUN_COST))
             if run - i >= 3:
-                here += [(run, x, cost + RUN_COST), (run, x + x, cost + RUN_COST)]
+                here.append((run, x + x, cost + RUN_COST))
         if c in MASKS:
             here += [(i + 1, chr(x), MASK_COST) for x in range(97, 123)]
         if c in SEPARATORS and 0 < i < n - 1:
@@ -135,38 +144,72 @@ def _features_of(words: set[str]) -> set[str]:
     return out
 
 
+def _single(word: str) -> str:
+    """The word with each run of a letter as one."""
+    return _RUNS.sub(r"\1", word)
+
+
 class Reader:
-    """Features of whole texts with disguised words restored; with ``wanted``, those among it only. Tokens that were read before are remembered."""
+    """Features of restored texts; with ``wanted``, those among it only. Tokens that were read before are remembered.
+
+    Text is brought to compatibility form (full-width letters become plain ones)
+    and lower case.  Runs spelled letter by letter are read first, then each
+    token's stretches that may be disguised; what is read takes the place of what
+    stood there.  With ``wanted``, a stretch whose only sign is a doubled letter is
+    read if it could be a wanted word or beginning, and two tokens that make a
+    wanted word together are read as one with a blank in it.
+    """
 
     def __init__(self, model: LanguageModel, wanted: frozenset | None = None) -> None:
         self.model, self.wanted = model, wanted
         self.known: set[str] = set()
         self.telling: dict[str, frozenset] = {}
+        self.words = frozenset(x for x in wanted or () if not x.endswith("~"))
+        self.singles = frozenset(_single(x.rstrip("~")) for x in wanted or ())
+        self.lengths = sorted({len(x) for x in self.singles})
+
+    def read(self, run: str) -> str:
+        """A run restored, in parts if it is long; marks around it stay out of it."""
+        core = run.strip(MASKS + SEPARATORS)
+        if not _WORD.search(core) or len(core) < 3:
+            return run
+        return " ".join(restore(core[i : i + PART], self.model) for i in range(0, max(1, len(core) - PART // 2), PART // 2))
+
+    def _disguised(self, stretch: str) -> bool:
+        if not _LATIN.search(stretch):
+            return False
+        if not _NOISE.isdisjoint(stretch) or _SPLIT.search(stretch):
+            return True
+        if not _RUN.search(stretch):
+            return False
+        single = _single(stretch)
+        return self.wanted is None or any(single[:n] in self.singles for n in self.lengths if n <= len(single))
+
+    def _stretch(self, m: re.Match) -> str:
+        # marks that end a word stand for no letter, nor do rows of them before or after it
+        stretch = _MARKS.sub("", m.group()).strip(MASKS + SEPARATORS).rstrip("!|+(")
+        if not self._disguised(stretch):
+            return m.group()
+        return " " + " ".join(restore(stretch[i : i + PART], self.model) for i in range(0, max(1, len(stretch) - PART // 2), PART // 2)) + " "
 
     def token_features(self, token: str) -> frozenset:
-        """Features of the plain words of a token and of its restored readings."""
-        words = set(_WORD.findall(token))
-        for stretch in _STRETCH.findall(token):
-            # marks that end a word stand for no letter, nor do rows of them before or after it
-            stretch = _MARKS.sub("", stretch).strip(MASKS + SEPARATORS).rstrip("!|+(")
-            if (not _NOISE.isdisjoint(stretch) or _RUN.search(stretch) or _SPLIT.search(stretch)) and _WORD.search(stretch):
-                for i in range(0, max(1, len(stretch) - PART // 2), PART // 2):
-                    words.update(_WORD.findall(restore(stretch[i : i + PART], self.model)))
-        found = _features_of(words)
+        """Features of the words of a token whose disguised stretches are restored."""
+        found = _features_of(set(_WORD.findall(_STRETCH.sub(self._stretch, token))))
         return frozenset(found if self.wanted is None else found & self.wanted)
 
     def features(self, text: str) -> set[str]:
-        text = text.lower()
-        tokens = set(text.split())
+        if not text.isascii():
+            text = unicodedata.normalize("NFKC", text)
+        text = _SPELLED.sub(lambda m: self.read(m.group()), text.lower())
+        tokens = text.split()
         out: set[str] = set()
-        for m in _SPELLED.finditer(text):
-            # marks before and after it are no letters
-            run = m.group().strip(MASKS + SEPARATORS)
-            if _WORD.search(run) and len(run) > 2:
-                for i in range(0, max(1, len(run) - PART // 2), PART // 2):
-                    out |= self.token_features(restore(run[i : i + PART], self.model))
+        if self.words:
+            for a, b in zip(tokens, tokens[1:]):
+                if a + b in self.words:
+                    out |= self.token_features(restore(f"{a} {b}", self.model))
         if len(self.known) > REMEMBERED:
             self.known, self.telling = set(), {}
+        tokens = set(tokens)
         new = tokens - self.known
         self.known |= new
         for token in new:
@@ -251,8 +294,14 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = 5) -> Classifier:
     At most about TRAIN_ROWS labelled rows, drawn by the hash of doc_id, fit the
     classifier. Its features are the words and word beginnings of restored texts
     that tell the labels apart best on those rows.
+
+    Null texts are empty. Labels with a null doc_id, or other than 0 and 1, take no
+    part; of repeated ones of a doc_id the largest counts. Each row of docs with
+    that doc_id is a labelled row, so repeated rows weigh more. Equally telling
+    features go by name. Extra columns are ignored. Without labelled rows of both
+    kinds, all texts get the one known label's score, or 0 about.
     """
-    docs = pick(docs, "doc_id", "text")
+    docs = spread(pick(docs, "doc_id", "text"))
     language = language_model(docs.select("text"))
     marks = pick(labels, "doc_id", "toxic").where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     unit = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 32)) / float(1 << 32)
@@ -307,8 +356,12 @@ def _score_batches(batches: Iterator[pa.RecordBatch], model: Classifier, key: st
 
 
 def score(docs: DataFrame, model: Classifier) -> DataFrame:
-    """doc_id and score (0 to 1) of each row's whole text; null reads as empty, equal texts score alike, extra columns are ignored."""
-    return pick(docs, "doc_id", "text").mapInArrow(partial(_score_batches, model=model, key=uuid.uuid4().hex), "doc_id long, score double")
+    """doc_id and score (0 to 1) of each row's whole text.
+
+    Null reads as empty, equal texts score alike, rows with a null or repeated
+    doc_id are scored like others, extra columns are ignored, no rows give none.
+    """
+    return spread(pick(docs, "doc_id", "text")).mapInArrow(partial(_score_batches, model=model, key=uuid.uuid4().hex), "doc_id long, score double")
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -316,6 +369,7 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def query(spark, sf_dir: str) -> DataFrame:
+    """Every document's toxicity, learned from the labels of the folds that are not held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out())
     out = score(docs, fit(docs, labels))

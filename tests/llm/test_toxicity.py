@@ -69,10 +69,17 @@ def test_trigram_counts(spark):
 
     import pyarrow as pa
 
-    (batch,) = tox._trigram_batches(iter([pa.RecordBatch.from_arrays([pa.array(["abc de", "É1xy"])], names=["t"])]))
-    got = {(int(g) // 784, int(g) // 28 % 28, int(g) % 28): n for g, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())}
-    inside = plain(["abc de"])
-    assert all(got.get(g) == n for g, n in inside.items())
+    for texts in (["abc de"], ["abc de", "É1xy"], ["", "z", None, "A b  c", "éa É"]):
+        (batch,) = tox._trigram_batches(iter([pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["t"])]))
+        got = {(int(g) // 784, int(g) // 28 % 28, int(g) % 28): n for g, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())}
+        # texts of a slice follow each other with an edge between them; a text's first character counts as that edge
+        assert sum(got.values()) == sum(plain([joined(texts)]).values()) and got == plain([joined(texts)])
+
+
+def joined(texts):
+    """Texts as the counter sees a slice of them: the first character of each but the first is an edge."""
+    some = [t for t in texts if t]
+    return some[0] + "".join(" " + t[1:] for t in some[1:]) if some else ""
 
 
 def labelled(n, seed):
@@ -111,6 +118,40 @@ def test_no_labels_and_one_label(spark, make_docs):
     assert tox.score(make_docs([]), tox.fit(make_docs([]), none)).collect() == []
 
 
+@pytest.mark.parametrize("noisy,word", [("s t u p 1 d", "stupid"), ("s.t.u.p.1.d", "stupid"), ("st upid", "stupid"), ("st.upid", "stupid"), ("stuupiid", "stupid"), ("ｓｔｕｐｉｄ", "stupid"), ("ѕtupіd", "stupid"), ("mοrοn", "moron"), ("mor on", "moron"), ("lloser", "loser"), ("1 D 1 0 T", "idiot"), ("p4th3tic", "pathetic")])
+def test_mixed_disguises(language, noisy, word):
+    names = frozenset(tox._features_of(set(INSULTS)))
+    got = tox.Reader(language, names).features(f"well, {noisy} then")
+    assert got == tox._features_of({word})
+    assert tox.Reader(language, names).features("the morning is on the letter of a low serial number, all good") == set()
+
+
+def test_scores_equal_plain_ones(spark, make_docs):
+    """The score is the logistic sum of the weights of the restored text's words and beginnings, restored by trying every path."""
+    rows, marks = labelled(300, 5)
+    model = tox.fit(make_docs(rows), spark.createDataFrame(marks, "doc_id long, quality int, toxic int"))
+
+    def paths(arcs, i=0):
+        if i == len(arcs):
+            yield "", 0.0
+        else:
+            for to, write, price in arcs[i]:
+                for rest, cost in paths(arcs, to):
+                    yield write + rest, price + cost
+
+    def reading(word):
+        s = lambda t: [0, 0, *map(tox._symbol, t), 0]
+        price = lambda t: sum(model.language.cost[g] for g in zip(s(t), s(t)[1:], s(t)[2:]))
+        return min((cost + price(t), t) for t, cost in paths(tox._arcs(word)))[1]
+
+    texts = [(0, "water under the garden"), (1, "an 1d10t with m0ron winter"), (2, "$tup1d l0ser bread"), (3, "pathet1c"), (4, None), (5, "idiot stupid moron")]
+    got = {r["doc_id"]: r["score"] for r in tox.score(make_docs(texts), model).collect()}
+    for i, t in texts:
+        words = [reading(w) if any(c in "01$" for c in w) else w for w in (t or "").split()]
+        z = model.bias + sum(model.weights[k] for x, k in model.names.items() if any(w == x or (x.endswith("~") and len(w) >= len(x) - 1 and w.startswith(x[:-1])) for w in words))
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+
+
 def test_long_tokens_take_linear_time(language):
     import time
 
