@@ -58,15 +58,15 @@ def motif_rank(counts: DataFrame) -> DataFrame:
     zeros to the width of the largest; mean is the average of a k-mer's class sums
     over all classes, to two places.
     """
-    classes = counts.select("class").distinct()
-    grid = counts.select("ord", "kmer").distinct().withColumn("all", F.lit(1)).join(classes.groupBy().agg(F.array_sort(F.collect_set("class")).alias("names")).withColumn("all", F.lit(1)), "all")
-    grid = grid.select("ord", "kmer", F.explode("names").alias("class"))
-    sums = counts.groupBy("ord", "class").agg(F.sum("n").alias("total"), F.count_if(F.col("n") > 0).alias("carriers"))
-    full = grid.join(sums, ["ord", "class"], "left").fillna(0, subset=["total", "carriers"])
-    width = full.agg(F.length(F.max("total").cast("string")).alias("width")).withColumn("all", F.lit(1))
-    mean = full.groupBy("ord").agg(F.round(F.sum("total") / F.count("*"), 2).alias("mean"))
-    shown = F.concat(F.lpad(F.col("total").cast("string"), F.col("width"), F.lit("0")), F.lit("|"), F.col("carriers").cast("string"))
-    return full.withColumn("all", F.lit(1)).join(width, "all").join(mean, "ord").select("ord", "kmer", "class", shown.alias("shown"), "mean")
+    sums = counts.groupBy("ord", "kmer", "class").agg(F.sum("n").alias("total"), F.count_if(F.col("n") > 0).alias("carriers"))
+    held = F.map_from_entries(F.collect_list(F.struct("class", F.struct("total", "carriers")))).alias("held")
+    per = sums.groupBy("ord", "kmer").agg(held, F.sum("total").alias("all_total")).withColumn("all", F.lit(1))
+    # one row: the classes, and the width of the largest sum
+    head = sums.agg(F.array_sort(F.collect_set("class")).alias("names"), F.length(F.greatest(F.max("total"), F.lit(0)).cast("string")).alias("width")).withColumn("all", F.lit(1))
+    full = per.join(head, "all").select("ord", "kmer", "held", "width", F.round(F.col("all_total") / F.size("names"), 2).alias("mean"), F.explode("names").alias("class"))
+    cell = F.coalesce(F.try_element_at("held", F.col("class")), F.struct(F.lit(0).cast("long").alias("total"), F.lit(0).cast("long").alias("carriers")))
+    shown = F.concat(F.lpad(cell["total"].cast("string"), F.col("width"), F.lit("0")), F.lit("|"), cell["carriers"].cast("string"))
+    return full.select("ord", "kmer", "class", shown.alias("shown"), "mean")
 
 
 def test_unique_class_motifs(counts: DataFrame) -> DataFrame:

@@ -119,17 +119,26 @@ def per_class(rows: DataFrame, r: float = 2, limit: int = MOST, seed: int = 123)
     return found.unionByName(rest.mapInPandas(partial(_nearest_in_class, points=points), shape))
 
 
-def two_stage(rows: DataFrame, r: float = 2) -> DataFrame:
-    """(id, class, cluster, exemplar_id, is_selected, is_exemplar) for rows (id, class, x).
+def two_stage(rows: DataFrame, r: float = 2, rest: str = "none") -> DataFrame:
+    """(id, class, cluster, exemplar_id, is_selected, is_exemplar) for rows (id, class, x) of a table of any size.
 
-    Exemplars of every class go through a second run together; rows that are no
-    class's exemplar are not clustered (cluster null, is_selected false).
+    Exemplars of every class go through a second run together.  With rest "none",
+    rows that are no class's exemplar are not clustered (cluster null); with
+    "follow" they go where the exemplar of their class went that per_class() gave
+    them.  is_selected tells the rows that took part in the second run.
     """
+    if rest not in ("none", "follow"):
+        raise ValueError("rest must be 'none' or 'follow'")
     first = per_class(rows, r)
     chosen = rows.join(first.select(F.col("exemplar").alias("id")).distinct(), "id", "left_semi").select(F.lit(0).alias("all"), "id", "x")
     final = chosen.groupBy("all").applyInPandas(partial(_final_stage, r=r), "id long, cluster int, exemplar_id long")
-    out = rows.select("id", "class").join(final, "id", "left")
-    return out.select("id", "class", "cluster", "exemplar_id", F.col("cluster").isNotNull().alias("is_selected"), F.coalesce(F.col("exemplar_id") == F.col("id"), F.lit(False)).alias("is_exemplar"))
+    selected = F.col("own").isNotNull().alias("is_selected")
+    if rest == "none":
+        out = rows.select("id", "class").join(final, "id", "left").withColumn("own", F.col("cluster"))
+    else:
+        own = final.select("id", F.col("cluster").alias("own"))
+        out = first.join(final.withColumnRenamed("id", "exemplar"), "exemplar").join(own, "id", "left")
+    return out.select("id", "class", "cluster", "exemplar_id", selected, F.coalesce(F.col("exemplar_id") == F.col("id"), F.lit(False)).alias("is_exemplar"))
 
 
 def sampled(rows: DataFrame, r: float = 2, limit: int = MOST, seed: int = 123) -> DataFrame:

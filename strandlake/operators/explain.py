@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 from functools import partial
 
@@ -9,7 +10,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from strandlake.operators.ml import Trained
+from strandlake.operators.ml import Trained, tree_paths
+
+log = logging.getLogger("strandlake")
 
 
 def _parts(model) -> list:
@@ -24,38 +27,28 @@ def feature_importance(spark: SparkSession, trained: Trained, top_n: int = 10) -
     return spark.createDataFrame([(trained.motifs[i], float(gain[i]), r + 1) for r, i in enumerate(order)], "motif string, gain double, rank int")
 
 
-def tree_paths(tree, level: int | None = None) -> list[tuple[list[tuple[int, float, float, float]], float]]:
-    """Root-to-leaf paths of a Spark tree: one (feature, low, high, share) per different feature of a path, and the leaf's value.
-
-    A row follows the path if low < x <= high for each feature; share is the part
-    of training rows that go on at the feature's splits. With a level, the value
-    is that class's share of the leaf (classification), else the prediction.
-    """
-    paths = []
-
-    def weight(node) -> float:
-        return float(node.impurityStats().count())
-
-    def value(node) -> float:
-        if level is None:
-            return float(node.prediction())
-        stats = np.array(list(node.impurityStats().stats()))
-        return float(stats[level] / stats.sum()) if stats.sum() else 0.0
-
-    stack = [(tree._call_java("rootNode"), {})]
-    while stack:
-        node, met = stack.pop()
-        if node.subtreeDepth() == 0:
-            paths.append(([(f, *x) for f, x in met.items()], value(node)))
-            continue
-        cut = node.split()
-        f, t = int(cut.featureIndex()), float(cut.threshold())
-        total = weight(node)
-        for child, side in ((node.leftChild(), 0), (node.rightChild(), 1)):
-            low, high, share = met.get(f, (-np.inf, np.inf, 1.0))
-            low, high = (low, min(high, t)) if side == 0 else (max(low, t), high)
-            stack.append((child, {**met, f: (low, high, share * weight(child) / total)}))
-    return paths
+#: Where a result may name its feature columns, in the order in which they are looked for (fixed values).
+FEATURE_FIELDS = ("motifs_used", "selected_motifs", "feature_names", "motif_names")
+
+
+def feature_columns(result: dict, available: list[str], method: str = "xgb") -> list[str]:
+    """The feature columns of a training result: the first of FEATURE_FIELDS that is not empty (lists, or lists by class), else the columns of its train_data but class; those that ``available`` lacks are dropped with a warning."""
+    if method != "xgb":
+        raise ValueError("feature columns are those of a boosted model")
+    names: list[str] = []
+    for field in FEATURE_FIELDS:
+        held = result.get(field) or []
+        names = list(dict.fromkeys(x for v in held.values() for x in v)) if isinstance(held, dict) else list(dict.fromkeys(held))
+        if names:
+            break
+    if not names and result.get("train_data") is not None:
+        names = [c for c in result["train_data"].columns if c.lower() != "class"]
+    if missing := [x for x in names if x not in set(available)]:
+        log.warning("%d feature columns are not there and are dropped: %s", len(missing), ", ".join(missing[:10]))
+    names = [x for x in names if x in set(available)]
+    if not names:
+        raise ValueError("no feature columns")
+    return names
 
 
 def path_shapley(x: np.ndarray, paths, n_features: int) -> np.ndarray:

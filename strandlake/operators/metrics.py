@@ -18,7 +18,7 @@ def confusion(rows: DataFrame, levels: list | None = None) -> DataFrame:
 
 
 def accuracy_kappa(table: DataFrame) -> DataFrame:
-    """(total, correct, accuracy, kappa) of a confusion table."""
+    """(total, correct, accuracy, kappa) of a confusion table; kappa is null where chance alone would be right always, all null without rows."""
     total = table.agg(F.sum("n").alias("total"), F.sum(F.when(F.col("predicted") == F.col("actual"), F.col("n")).otherwise(0)).alias("correct"))
     by_p = table.groupBy(F.col("predicted").alias("level")).agg(F.sum("n").alias("p"))
     by_a = table.groupBy(F.col("actual").alias("level")).agg(F.sum("n").alias("a"))
@@ -26,7 +26,7 @@ def accuracy_kappa(table: DataFrame) -> DataFrame:
     both = total.withColumn("one", F.lit(1)).join(chance.withColumn("one", F.lit(1)), "one")
     expected = F.col("chance") / (F.col("total") * F.col("total"))
     accuracy = F.col("correct") / F.col("total")
-    return both.select("total", "correct", accuracy.alias("accuracy"), ((accuracy - expected) / (1 - expected)).alias("kappa"))
+    return both.select("total", "correct", accuracy.alias("accuracy"), F.try_divide(accuracy - expected, 1 - expected).alias("kappa"))
 
 
 def _tail(k: int, n: int, p: float) -> float:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+log = logging.getLogger("strandlake")
+
 
 def long_enough(rows: DataFrame, min_size: int = 800) -> DataFrame:
     out = rows.where(F.col("length") >= min_size)
@@ -36,7 +39,7 @@ def pick(rows: DataFrame, seq_per_class: int | None, train_prop: float = 0.7, ru
     """The training rows: the quota of each class in the order of a seeded hash of seq_id, or of seq_id itself if seed is None."""
     order = [F.col("seq_id")] if seed is None else [F.xxhash64("seq_id", F.lit(seed)), F.col("seq_id")]
     ranked = rows.withColumn("pick_rank", F.row_number().over(Window.partitionBy("class").orderBy(*order)))
-    return ranked.join(F.broadcast(quotas(rows, seq_per_class, train_prop, rule)), "class").where(F.col("pick_rank") <= F.col("n_train")).drop("pick_rank", "n_train", "size")
+    return ranked.join(quotas(rows, seq_per_class, train_prop, rule), "class").where(F.col("pick_rank") <= F.col("n_train")).drop("pick_rank", "n_train", "size")
 
 
 def rest(rows: DataFrame, train: DataFrame) -> DataFrame:
@@ -52,7 +55,7 @@ def stratified(rows: DataFrame, share: float) -> DataFrame:
     """rows with dataset train for the first ceil(share * size) of each class by seq_id, else test."""
     order = Window.partitionBy("class").orderBy("seq_id")
     sizes = rows.groupBy("class").agg(F.ceil(F.count("*") * F.lit(share)).alias("n_train"))
-    ranked = rows.withColumn("pick_rank", F.row_number().over(order)).join(F.broadcast(sizes), "class")
+    ranked = rows.withColumn("pick_rank", F.row_number().over(order)).join(sizes, "class")
     return ranked.withColumn("dataset", F.when(F.col("pick_rank") <= F.col("n_train"), "train").otherwise("test")).drop("pick_rank", "n_train")
 
 
@@ -61,6 +64,17 @@ def common_kmers(train: DataFrame, test: DataFrame) -> DataFrame:
     return train.select("kmer").distinct().join(test.select("kmer").distinct(), "kmer", "left_semi")
 
 
+def align_kmers(train: DataFrame, test: DataFrame, share: float = 0.7) -> DataFrame:
+    """common_kmers() of two count tables; warns where they differ, and where fewer than ``share`` of the training set's k-mers are left."""
+    common = common_kmers(train, test)
+    n_train, n_test, n_common = (df.select("kmer").distinct().count() for df in (train, test, common))
+    if not n_train == n_test == n_common:
+        log.warning("train holds %d k-mers, test %d, both %d", n_train, n_test, n_common)
+        if n_common < share * n_train:
+            log.warning("only %.1f %% of the training k-mers are in the test set", 100 * n_common / n_train)
+    return common
+
+
 @dataclass
 class Split:
     train: DataFrame

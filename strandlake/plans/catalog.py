@@ -182,36 +182,24 @@ def header_class_query(spark, sf_dir):
 _EDGES = f"{_SEQS}, e AS (SELECT seq_id, substr(seq, i::BIGINT, 3) AS src, substr(seq, i::BIGINT + 3, 3) AS dst FROM (SELECT seq_id, seq, unnest(range(1, length(seq) - 4, 1)) AS i FROM seqs WHERE length(seq) >= 6))"
 
 
-def _edges(spark, sf_dir) -> DataFrame:
-    return graph.word_edges(sequences(spark, sf_dir), 3)
-
-
 @query("word_graph_edges", f"WITH {_EDGES} SELECT seq_id, src, dst, count(*) AS n FROM e GROUP BY ALL")
 def word_graph_edges(spark, sf_dir):
-    return _edges(spark, sf_dir).groupBy("seq_id", "src", "dst").agg(F.count("*").alias("n"))
+    # a seq_id may occur in several rows
+    return graph.word_edges(sequences(spark, sf_dir), 3).groupBy("seq_id", "src", "dst").agg(F.sum("n").alias("n"))
 
 
 @query("word_graph_adjacency", f"WITH {_EDGES} SELECT src, dst, count(*) AS n FROM e GROUP BY ALL")
 def word_graph_adjacency(spark, sf_dir):
-    return graph.adjacency(_edges(spark, sf_dir))
+    return graph.adjacency(sequences(spark, sf_dir), 3)
 
 
 @query(
     "word_graph_missing_vertices",
-    f"WITH {_SEQS}, {_vocab(5)}, e AS (SELECT substr(seq, i::BIGINT, 5) AS src, substr(seq, i::BIGINT + 5, 5) AS dst FROM (SELECT seq, unnest(range(1, length(seq) - 8, 40)) AS i FROM seqs WHERE length(seq) >= 10 AND class = 'es')) SELECT kmer FROM vocab WHERE kmer NOT IN (SELECT src FROM e UNION SELECT dst FROM e)",
+    f"WITH {_SEQS}, {_vocab(6)}, e AS (SELECT substr(seq, i::BIGINT, 6) AS src, substr(seq, i::BIGINT + 6, 6) AS dst FROM (SELECT seq, unnest(range(1, length(seq) - 10, 1)) AS i FROM seqs WHERE length(seq) >= 12)) SELECT kmer FROM vocab WHERE kmer NOT IN (SELECT src FROM e UNION SELECT dst FROM e)",
 )
 def word_graph_missing_vertices(spark, sf_dir):
-    seqs = sequences(spark, sf_dir).where("class = 'es'")
-    return graph.missing_vertices(graph.word_edges(seqs, 5, step=40), K.vocabulary(spark, k=5))
-
-
-@query(
-    "word_graph_missing_vertices_all",
-    f"WITH {_SEQS}, {_vocab(5)}, e AS (SELECT substr(seq, i::BIGINT, 5) AS src, substr(seq, i::BIGINT + 5, 5) AS dst FROM (SELECT seq, unnest(range(1, length(seq) - 8, 1)) AS i FROM seqs WHERE length(seq) >= 10)) SELECT kmer FROM vocab WHERE kmer NOT IN (SELECT src FROM e UNION SELECT dst FROM e)",
-)
-def word_graph_missing_vertices_all(spark, sf_dir):
-    """The 5-mers that no window of any document holds."""
-    return graph.missing_vertices(graph.word_edges(sequences(spark, sf_dir), 5), K.vocabulary(spark, k=5))
+    """The 6-mers that no window of any document holds."""
+    return graph.missing_vertices(graph.adjacency(sequences(spark, sf_dir), 6), K.vocabulary(spark, k=6))
 
 
 # ---------------------------------------------------------------- splits
@@ -611,21 +599,13 @@ def segment_clusters_full(spark, sf_dir):
     return event_runs(spark, sf_dir).groupBy("user_id").applyInPandas(run, "user_id long, place long, class string, cluster int")
 
 
-def _bounded_vectors(spark, sf_dir) -> DataFrame:
-    """embeddings as (seq_id, class, counts), down to the row limit that quadratic stages have."""
-    from strandlake.operators.linkage import MOST
-    from strandlake.plans.pipeline import bounded_sample
-
-    rows = vectors(spark, sf_dir).select(F.col("id").alias("seq_id"), "class", F.col("x").alias("counts"))
-    return bounded_sample(rows, MOST, 123)
-
-
 @query("hclust_order")
 def hclust_order(spark, sf_dir):
-    from strandlake.plans.pipeline import by_dendrogram
+    """A cluster for every vector: segments of the leaf order, which rows beyond the limit of a linkage join by the nearest centroid."""
+    from strandlake.plans.pipeline import by_dendrogram_all
 
-    rows, tree = by_dendrogram(spark, _bounded_vectors(spark, sf_dir), 0.8)
-    return rows
+    rows = vectors(spark, sf_dir).select(F.col("id").alias("seq_id"), "class", F.col("x").alias("counts"))
+    return by_dendrogram_all(spark, rows, 0.8)[0]
 
 
 @query("ap_exemplars")
@@ -637,9 +617,10 @@ def ap_exemplars(spark, sf_dir):
 
 @query("ap_two_stage")
 def ap_two_stage(spark, sf_dir):
+    """Both stages over every vector; those that are no class's exemplar have no cluster."""
     from strandlake.operators import ap
 
-    return ap.two_stage(_bounded_vectors(spark, sf_dir).select(F.col("seq_id").alias("id"), "class", F.col("counts").alias("x")))
+    return ap.two_stage(vectors(spark, sf_dir))
 
 
 def _model(spark, sf_dir, method: str):

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import logging
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,7 +27,7 @@ def empty_sequences(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], SEQUENCES)
 
 
-def read_fasta(spark: SparkSession, path: str, class_from: str = "file") -> DataFrame:
+def read_fasta(spark: SparkSession, path: str, class_from: str = "file", with_place: bool = False) -> DataFrame:
     """The records of a FASTA file, or of all FASTA files of a folder: SEQUENCES.
 
     Files are read line by line in splits. A line's byte order within its split
@@ -33,7 +35,8 @@ def read_fasta(spark: SparkSession, path: str, class_from: str = "file") -> Data
     lines tells records apart, so a header may hold ``>`` and a record may span
     splits. ``class_from`` is "file" (the name without extension) or "header" (the
     name up to its first dot). White space inside a sequence goes, letters become
-    upper case. A record without letters stays, with length 0.
+    upper case. A record without letters stays, with length 0. ``with_place`` adds
+    the file and the record's number in it.
     """
     if class_from not in ("file", "header"):
         raise ValueError("class_from must be 'file' or 'header'")
@@ -56,7 +59,14 @@ def read_fasta(spark: SparkSession, path: str, class_from: str = "file") -> Data
     label = file_class(F.col("file")) if class_from == "file" else header_class(F.col("sequence_name"))
     # a number that does not depend on the run: where the file name and record number hash to
     number = F.xxhash64("file", "record")
-    return named.select(number.alias("seq_id"), "sequence_name", label.alias("class"), F.length("seq").cast("int").alias("length"), "seq")
+    return named.select(number.alias("seq_id"), "sequence_name", label.alias("class"), F.length("seq").cast("int").alias("length"), "seq", *(["file", "record"] if with_place else []))
+
+
+def read_flat(spark: SparkSession, path: str) -> DataFrame:
+    """read_fasta() by readers that name a record by the first word of its header: of records with one name the last stays (by file, then place in it)."""
+    rows = read_fasta(spark, path, with_place=True).withColumn("sequence_name", first_word(F.col("sequence_name")))
+    last = Window.partitionBy("sequence_name").orderBy(F.desc("file"), F.desc("record"))
+    return rows.withColumn("k", F.row_number().over(last)).where("k = 1").select(*[f.name for f in SEQUENCES])
 
 
 def first_word(name):
@@ -76,5 +86,32 @@ def save_model(model, path: str) -> None:
     log.info("wrote %s", path)
 
 
+def save_models(trained: dict, path: str) -> None:
+    """Each model of ``trained`` (name to Trained) under path, and the table of their measures as Parquet in path/comparison."""
+    rows = []
+    for name, one in trained.items():
+        save_model(one.model, f"{path}/{name}")
+        rows.append((name, one.accuracy, one.kappa, one.seconds))
+        spark = one.predictions.sparkSession
+    spark.createDataFrame(rows, "model string, accuracy double, kappa double, seconds double").write.mode("overwrite").parquet(f"{path}/comparison")
+    log.info("wrote %s/comparison", path)
+
+
+@contextmanager
+def log_to(path: str) -> Iterator[None]:
+    """What the engine logs inside also goes to a file on the driver."""
+    handler = logging.FileHandler(path)
+    handler.setFormatter(logging.Formatter("%(asctime)s %(levelname)s %(message)s"))
+    before = log.level
+    log.addHandler(handler)
+    log.setLevel(logging.INFO)
+    try:
+        yield
+    finally:
+        log.removeHandler(handler)
+        log.setLevel(before)
+        handler.close()
+
+
 def read_numeric_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).option("inferSchema", True).csv(path)

@@ -44,3 +44,10 @@ def test_no_files(spark, tmp_path):
 def test_checkpoint_sink(spark, tmp_path):
     fasta.save_checkpoint({"x": spark.range(3)}, str(tmp_path))
     assert spark.read.parquet(f"{tmp_path}/x").count() == 3
+
+
+def test_flat_reader_keeps_the_last_of_a_name(spark, tmp_path):
+    (tmp_path / "a.fasta").write_text(">one x\nACGT\n>two\nAAAA\n>one y\nCCCC\n")
+    (tmp_path / "b.fasta").write_text(">two z\nGGGG\n")
+    got = {r["sequence_name"]: (r["seq"], r["class"]) for r in fasta.read_flat(spark, str(tmp_path)).collect()}
+    assert got == {"one": ("CCCC", "a"), "two": ("GGGG", "b")}

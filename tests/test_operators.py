@@ -3,13 +3,16 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from strandlake.functions import describe
 from strandlake.functions.kmers import all_kmers
 from strandlake.operators import analysis, ap, clusters, distance, explain, graph, linkage, metrics, ml, motifs, search, segment, split
 from strandlake.plans import catalog
-from strandlake.plans.pipeline import classify
+from strandlake.plans.pipeline import by_dendrogram_all, classify
+from strandlake.sources import fasta
 
 # ------------------------------------------------------------- clusters
 
@@ -230,20 +233,38 @@ def test_search(spark):
 
 def test_word_graph(spark):
     edges = graph.word_edges(seqs_of(spark, [("a", "x", "ACGTAC"), ("b", "x", "ACG"), ("c", "x", None)]), 2)
-    assert [(r["src"], r["dst"]) for r in edges.collect()] == [("AC", "GT"), ("CG", "TA"), ("GT", "AC")]
+    assert sorted((r["src"], r["dst"]) for r in edges.collect()) == [("AC", "GT"), ("CG", "TA"), ("GT", "AC")]
     assert len(graph.word_edges(seqs_of(spark, [("a", "x", "ACGTAC")]), 2, step=2).collect()) == 2
     vertices = spark.createDataFrame([("AC",), ("AA",)], "kmer string")
-    assert [r["kmer"] for r in graph.missing_vertices(edges, vertices).collect()] == ["AA"] and graph.adjacency(edges).count() == 3
+    assert [r["kmer"] for r in graph.missing_vertices(edges, vertices).collect()] == ["AA"] 
+
+@pytest.mark.parametrize("step", [1, 3])
+def test_word_graph_equals_plain_counts(spark, step):
+    """Letters beyond the alphabet, other scripts, words too long to be numbers, null ids and empty sequences."""
+    rng = random.Random(step)
+    named = [("".join(rng.choice(letters) for _ in range(rng.randrange(60)))) for letters in ("ACGT", "ACGTN", "Aé漢", "A") for _ in range(40)] + [None, ""]
+    rows = [(None if i % 9 == 0 else i, s) for i, s in enumerate(named)]
+    df = spark.createDataFrame(rows, "seq_id long, seq string")
+    for word in (2, 3, 12):
+        want, total = Counter(), Counter()
+        for i, s in rows:
+            for a in range(0, len(s or "") - 2 * word + 1, step):
+                want[i, s[a : a + word], s[a + word : a + 2 * word]] += 1
+                total[s[a : a + word], s[a + word : a + 2 * word]] += 1
+        got = Counter()
+        for r in graph.word_edges(df, word, step).collect():
+            got[r["seq_id"], r["src"], r["dst"]] += r["n"]
+        assert got == want and {(r["src"], r["dst"]): r["n"] for r in graph.adjacency(df, word, step).collect()} == total
 
 
 def test_missing_vertices_of_all_documents(spark, tmp_path):
-    """A 5-mer of another language, and one off the stride, are not missing."""
+    """Words of any language and at any place are not missing."""
     rows = [(1, "es", "a" * 40 + "bcdab" + "a" * 40), (2, "en", "b" * 12), (3, None, "c" * 12)]
     spark.createDataFrame(rows, "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    missing = {r["kmer"] for r in catalog.QUERIES["word_graph_missing_vertices_all"](spark, str(tmp_path)).collect()}
+    missing = {r["kmer"] for r in catalog.QUERIES["word_graph_missing_vertices"](spark, str(tmp_path)).collect()}
     seqs = [r["seq"] for r in catalog.sequences(spark, str(tmp_path)).collect()]
-    seen = {s[i : i + 5] for s in seqs for i in range(len(s) - 4)}
-    assert {"CCCCC", "GGGGG", "ACGTA"} <= seen and missing == {k for k in all_kmers("ACGT", 5) if k not in seen}
+    seen = {s[j : j + 6] for s in seqs for i in range(len(s) - 11) for j in (i, i + 6)}
+    assert {"CCCCCC", "GGGGGG", "AACGTA"} <= seen and missing == {k for k in all_kmers("ACGT", 6) if k not in seen}
 
 
 # ------------------------------------------------------------- split and measures
@@ -348,3 +369,220 @@ def test_pipeline(spark, tmp_path, method, learner):
     assert len(got.selection.unique) == 10 and got.split.train.count() == 30 and got.split.test.count() == 10 and got.trained.accuracy > 0.7
     assert "accuracy" in got.describe() and got.reports["class_frequency"].count() > 0 and got.importance.count() > 0
     assert describe.split(got.split).count() == 4 and describe.motifs(got.profiles).first()["kmers"] == 64 and "CASE" in describe.selection(got.selection)
+
+
+# ------------------------------------------------------------- rows beyond the limits, rounds, alignment, sinks
+
+
+def test_every_row_gets_a_cluster(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, "AB"[i % 2], [float(v) for v in rng.normal(20 * (i % 2), 1, 4)]) for i in range(120)]
+    df = spark.createDataFrame(rows, "seq_id long, class string, counts array<double>")
+    found, tree = by_dendrogram_all(spark, df, 0.8, limit=40)
+    got = {r["seq_id"]: r["cluster"] for r in found.collect()}
+    assert len(tree.order) == 40 and set(got) == set(range(120)) and len(got) == found.count()
+    # all rows outside the sample lie in the cluster of the nearest centroid of the sampled members
+    sample = {int(n) for n in tree.names}
+    x = {i: np.array(v) for i, _, v in rows}
+    centre = {c: np.mean([x[i] for i in sample if got[i] == c], axis=0) for c in {got[i] for i in sample}}
+    for i in set(got) - sample:
+        assert got[i] == min(sorted(centre), key=lambda c: np.linalg.norm(x[i] - centre[c]))
+    small, _ = by_dendrogram_all(spark, df, 0.8)
+    assert small.count() == 120
+
+
+def test_rows_follow_their_exemplars(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, "AB"[i % 2], [float(v) for v in rng.normal(30 * (i % 4), 1, 3)]) for i in range(80)]
+    df = spark.createDataFrame(rows, "id long, class string, x array<double>")
+    first = {r["id"]: r["exemplar"] for r in ap.per_class(df).collect()}
+    none = {r["id"]: r for r in ap.two_stage(df).collect()}
+    every = {r["id"]: r for r in ap.two_stage(df, rest="follow").collect()}
+    assert set(every) == set(range(80)) == set(none) and all(r["cluster"] is not None for r in every.values())
+    for i, r in every.items():
+        assert r["cluster"] == none[first[i]]["cluster"] and r["is_selected"] == none[i]["is_selected"] == (i in set(first.values()))
+
+
+def test_rounds_are_searched(spark):
+    """Errors after each round equal those of models that were fitted with so many rounds, and the first best one is used."""
+    rng = random.Random(2)
+    rows = [(i, "ABC"[i % 3], [rng.randrange(4) + 2 * (i % 3 == j) for j in range(4)]) for i in range(120)]
+    features, used = ml.motif_features(spark.createDataFrame(rows, "seq_id long, class string, counts array<int>"), all_kmers("ACGT", 1), ["A", "C", "G", "T"])
+    got = ml.train(features, features, used, "xgb", cv_folds=3, rounds=5)
+    labelled = features.withColumn("label", ml._label(["A", "B", "C"])).withColumn("fold", ml.folds_of(3, 123)).cache()
+    mean = []
+    for rounds in range(1, 6):
+        errors = []
+        for fold in range(3):
+            model = ml._boosted(123, rounds).fit(labelled.where(F.col("fold") != fold))
+            held = model.transform(labelled.where(F.col("fold") == fold)).select("label", "prediction").collect()
+            errors.append(np.mean([r["label"] != r["prediction"] for r in held]))
+        mean.append(round(float(np.mean(errors)), 12))
+    assert got.cv["best_round"] == 1 + mean.index(min(mean)) and got.cv["accuracy"] == pytest.approx(1 - min(mean)) and got.cv["folds"] == 3
+    assert all(len(m.trees) == got.cv["best_round"] for m in got.model.models)
+
+
+def test_alignment_warns(spark, caplog):
+    table = lambda names: spark.createDataFrame([(x,) for x in names], "kmer string")
+    with caplog.at_level("WARNING", "strandlake"):
+        assert {r[0] for r in split.align_kmers(table("ABCD"), table("ABCD")).collect()} == set("ABCD") and not caplog.records
+        assert {r[0] for r in split.align_kmers(table("ABCD"), table("ABCX")).collect()} == set("ABC") and len(caplog.records) == 1
+        assert {r[0] for r in split.align_kmers(table("ABCD"), table("AX")).collect()} == {"A"} and "25.0 %" in caplog.text
+
+
+def test_feature_columns(spark, caplog):
+    assert explain.feature_columns({"motifs_used": [], "selected_motifs": {"x": ["A", "C"], "y": ["A", "G"]}, "feature_names": ["T"]}, list("ACGT")) == ["A", "C", "G"]
+    assert explain.feature_columns({"train_data": spark.createDataFrame([(1, 2, "c")], "A int, C int, CLASS string")}, list("AC")) == ["A", "C"]
+    with caplog.at_level("WARNING", "strandlake"):
+        assert explain.feature_columns({"feature_names": ["A", "X"]}, ["A"]) == ["A"] and "X" in caplog.text
+    for result, method in (({}, "xgb"), ({"feature_names": ["X"]}, "xgb"), ({"feature_names": ["A"]}, "rf")):
+        with pytest.raises(ValueError):
+            explain.feature_columns(result, ["A"], method)
+
+
+def test_models_are_compared_and_saved(spark, tmp_path):
+    rng = random.Random(1)
+    rows = [(i, "AB"[i % 2], [rng.randrange(3) + 4 * (i % 2 == j) for j in range(4)]) for i in range(60)]
+    features, used = ml.motif_features(spark.createDataFrame(rows, "seq_id long, class string, counts array<int>"), all_kmers("ACGT", 1), ["A", "C"])
+    with fasta.log_to(f"{tmp_path}/run.log"):
+        both, best = ml.compare(features, features, used, cv_folds=2, rounds=3, trees=4, grid=[{"maxDepth": 2}, {"maxDepth": 3}])
+        fasta.save_models(both, str(tmp_path / "models"))
+    assert best == "xgb" and "best_round" in both["xgb"].cv
+    assert {r["model"]: r["accuracy"] for r in spark.read.parquet(str(tmp_path / "models" / "comparison")).collect()} == {m: t.accuracy for m, t in both.items()}
+    assert "comparison" in (tmp_path / "run.log").read_text()
+
+
+def test_external_sets_by_path(spark, tmp_path):
+    rng = random.Random(7)
+    for folder, n in (("train", 14), ("test", 6)):
+        (tmp_path / folder).mkdir()
+        for name, letters in (("classA", "AAACGT"), ("classB", "ACGTTT")):
+            (tmp_path / folder / f"{name}.fasta").write_text("".join(f">{folder}{i}_{name}\n{''.join(rng.choice(letters) for _ in range(200))}\n" for i in range(n)))
+    train, test = str(tmp_path / "train"), str(tmp_path / "test")
+    got = classify(spark, train, k=2, n_motifs=6, cv_folds=0, ml_method="rf", external_train=train, external_test=test, importance=False, min_cluster_length=100)
+    assert got.split.mode == "fully_external" and got.split.test.count() == 12 and got.trained.accuracy > 0.7 and set(got.trained.motifs) <= set(got.selection.unique)
+    one = classify(spark, train, k=2, n_motifs=6, cv_folds=0, ml_method="rf", min_size=100, external_test=str(tmp_path / "test" / "classA.fasta"), importance=False)
+    assert one.split.mode == "external_test_only" and one.split.test.count() == 6
+    with pytest.raises(ValueError):
+        classify(spark, train, k=2, min_cluster_length=1000)
+
+
+# ------------------------------------------------------------- queries without SQL, held against plain versions over the same tables
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def plain_profiles(cluster_of, k):
+    """cluster -> {kmer: norm} over documents as sequences, by counting in Python; a document may be in no cluster."""
+    names = all_kmers("ACGT", k)
+    raw = {}
+    for r in pq.read_table(f"{SMALL}/documents.parquet").to_pylist():
+        c = cluster_of(r)
+        if c is not None:
+            seq = "".join("ACGT"[(ord(x) - 97) % 4] for x in (r["text"] or "").lower() if "a" <= x <= "z")
+            raw.setdefault(c, Counter()).update(w for i in range(len(seq) - k + 1) if len(w := seq[i : i + k]) == k)
+    out = {}
+    for c, counts in raw.items():
+        v = [counts[n] for n in names]
+        low, high = min(v), max(v)
+        out[c] = {n: 0.5 if low == high else (x - low) / (high - low) for n, x in zip(names, v)}
+    return names, out
+
+
+def test_case3_query_equals_a_plain_one(spark):
+    """Each class takes n div m of its own best unused motifs; the rest goes to the least homogeneous, here the first ones."""
+    names, profiles = plain_profiles(lambda r: r["lang"] or "?", 4)
+    used, picks = set(), {c: [] for c in sorted(profiles)}
+    best = {c: sorted(names, key=lambda n: (-p[n], names.index(n))) for c, p in profiles.items()}
+    rounds = [(c, 64 // len(profiles)) for c in sorted(profiles)] + [(c, 1) for c in sorted(profiles)[: 64 % len(profiles)]]
+    for c, n in rounds:
+        new = [x for x in best[c] if x not in used][:n]
+        used.update(new)
+        picks[c] += new
+    want = {(c, i + 1, x) for c, v in picks.items() for i, x in enumerate(v)}
+    assert {tuple(r) for r in catalog.QUERIES["select_motifs_case3"](spark, SMALL).collect()} == want
+
+
+def test_case2_query_equals_a_plain_one(spark):
+    """With fewer motifs than clusters (sources), classes take quotas by the sums over the clusters that they dominate."""
+    rows = pq.read_table(f"{SMALL}/documents.parquet").to_pylist()
+    names, profiles = plain_profiles(lambda r: r["source"], 4)
+    members = {}
+    for r in rows:
+        if r["source"] is not None:
+            members.setdefault(r["source"], Counter())[r["lang"] or "?"] += 1
+    dominant = {c: min(m, key=lambda x: (-m[x], x)) for c, m in members.items()}
+    got = {tuple(r) for r in catalog.QUERIES["select_motifs_case2"](spark, SMALL).collect()}
+    if 12 >= len(profiles):
+        pytest.skip("as many clusters as motifs")
+    classes, used, want = sorted(set(dominant.values())), set(), set()
+    for i, c in enumerate(classes):
+        score = {n: math.fsum(p[n] for s, p in profiles.items() if dominant[s] == c) for n in names}
+        order = [x for x in sorted(names, key=lambda n: (-round(score[n], 9), names.index(n))) if x not in used]
+        new = order[: 12 // len(classes) + (i < 12 % len(classes))]
+        used.update(new)
+        want |= {(c, k + 1, x) for k, x in enumerate(new)}
+    assert got == want
+
+
+def plain_linkage(x):
+    """Ward's merges by trying all pairs of clusters: (members, members) from first to last."""
+    groups = [[i] for i in range(len(x))]
+    while len(groups) > 1:
+        def cost(a, b):
+            gap = x[a].mean(0) - x[b].mean(0)
+            return len(a) * len(b) / (len(a) + len(b)) * (gap @ gap)
+
+        i, j = min(((i, j) for i in range(len(groups)) for j in range(i + 1, len(groups))), key=lambda p: cost(groups[p[0]], groups[p[1]]))
+        groups[i], groups[j : j + 1] = groups[i] + groups[j], []
+        yield frozenset(groups[i])
+
+
+def test_linkage_query_equals_a_plain_one(spark):
+    rows = sorted(pq.read_table(f"{SMALL}/embeddings.parquet").to_pylist(), key=lambda r: r["vec_id"])
+    x = np.array([r["embedding"] for r in rows], np.float64)
+    tree = linkage.dendrogram(x[:60], [str(r["label"]) for r in rows[:60]])
+    held, sets = {}, []
+    for step, (a, b, _, size) in enumerate(tree.merges, 1):
+        held[step] = (held[a] if a > 0 else {-a - 1}) | (held[b] if b > 0 else {-b - 1})
+        sets.append(frozenset(held[step]))
+        assert size == len(held[step])
+    assert sets == list(plain_linkage(x[:60]))
+    got = {r["seq_id"]: r["cluster"] for r in catalog.QUERIES["hclust_order"](spark, SMALL).collect()}
+    full = linkage.dendrogram(x, [str(r["label"]) for r in rows])
+    assert got == {rows[i]["vec_id"]: c for i, c in zip(full.order, segment.assignment(full.labels, 0.8, 3))}
+
+
+def test_exemplar_query_groups_by_similarity(spark):
+    """Each row's exemplar is of its class and stands for itself, and no other exemplar of the class, but for those that the last step moved, is nearer by much."""
+    rows = {r["vec_id"]: r for r in pq.read_table(f"{SMALL}/embeddings.parquet").to_pylist()}
+    got = {r["id"]: r["exemplar"] for r in catalog.QUERIES["ap_exemplars"](spark, SMALL).collect()}
+    assert set(got) == set(rows)
+    for i, e in got.items():
+        assert rows[i]["label"] == rows[e]["label"] and got[e] == e
+    for e in set(got.values()):
+        members = [i for i in got if got[i] == e]
+        total = lambda c: sum(((np.array(rows[c]["embedding"]) - np.array(rows[i]["embedding"])) ** 2).sum() for i in members)
+        assert total(e) <= min(map(total, members)) + 1e-9
+
+
+def test_segment_query_keeps_its_promises(spark):
+    """Every event is in one cluster of its user; clusters are runs of places; pure runs of three or more are whole."""
+    held = {}
+    for r in catalog.QUERIES["segment_clusters_full"](spark, SMALL).collect():
+        held.setdefault(r["user_id"], []).append((r["place"], r["class"], r["cluster"]))
+    assert sum(map(len, held.values())) == pq.read_table(f"{SMALL}/events.parquet").num_rows
+    for rows in held.values():
+        rows.sort()
+        assert [p for p, *_ in rows] == list(range(1, len(rows) + 1)) and all(c >= 1 for *_, c in rows)
+        # numbered by first position
+        order = list(dict.fromkeys(c for *_, c in rows))
+        assert order == sorted(order)
+        i = 0
+        while i < len(rows):
+            j = i
+            while j < len(rows) and rows[j][1] == rows[i][1]:
+                j += 1
+            if j - i >= 3:
+                assert len({c for *_, c in rows[i:j]}) == 1
+            i = j
