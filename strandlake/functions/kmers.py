@@ -51,7 +51,9 @@ def vocabulary(spark: SparkSession, alphabet=DNA, k: int = 6) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df over at least as many partitions as there are cores; tables of many files stay as they are."""
+    """df over at least as many partitions as there are cores; tables of many files stay as they are, and so do shuffled ones, whose partitions are adapted at run time (to count them would be to run them)."""
+    if df._jdf.queryExecution().executedPlan().nodeName() == "AdaptiveSparkPlan":
+        return df
     want = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(want) if df.rdd.getNumPartitions() < want else df
 

@@ -166,8 +166,9 @@ def train(train_rows: DataFrame, test_rows: DataFrame, motifs: list[str], method
     if method not in ("rf", "xgb"):
         raise ValueError("method must be 'rf' or 'xgb'")
     began = time.time()
-    levels = sorted(r[0] for r in train_rows.select("class").distinct().collect())
-    rows = train_rows.withColumn("label", _label(levels)).withColumn("fold", folds_of(max(2, cv_folds), seed)).cache()
+    base = train_rows.withColumn("fold", folds_of(max(2, cv_folds), seed)).cache()
+    levels = sorted(r[0] for r in base.select("class").distinct().collect())
+    rows = base.withColumn("label", _label(levels))
     cv: dict = {}
     evaluator = MulticlassClassificationEvaluator(metricName="accuracy")
     if method == "rf":
@@ -188,11 +189,12 @@ def train(train_rows: DataFrame, test_rows: DataFrame, motifs: list[str], method
         model = estimator.fit(rows)
     names = F.array(*[F.lit(x) for x in levels])
     predicted = model.transform(test_rows).select("seq_id", F.col("class").alias("actual"), F.get(names, F.col("prediction").cast("int")).alias("predicted"))
-    table = metrics.confusion(predicted, levels)
+    # a row for each two classes: held here, so that measures do not predict anew
+    table = train_rows.sparkSession.createDataFrame(metrics.confusion(predicted, levels).collect(), "predicted string, actual string, n long")
     row = metrics.accuracy_kappa(table).first()
     total, correct = (row["total"], row["correct"]) if row and row["total"] else (0, 0)
     interval = metrics.exact_interval(correct, total) if total else None
-    rows.unpersist()
+    base.unpersist()
     return Trained(method, model, motifs, levels, predicted, table, row["accuracy"] if total else None, row["kappa"] if total else None, interval, cv, time.time() - began)
 
 
