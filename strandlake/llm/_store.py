@@ -95,7 +95,9 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df over at least as many partitions as there are cores: a table of few splits is small, and one task would do all the work. Tables of many splits stay as they are."""
+    """df over at least as many partitions as there are cores: a table of few splits is small, and one task would do all the work. Tables of many splits stay as they are, and so do shuffled ones, whose partitions are adapted at run time."""
+    if df._jdf.queryExecution().executedPlan().nodeName() == "AdaptiveSparkPlan":
+        return df
     want = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(want) if df.rdd.getNumPartitions() < want else df
 
