@@ -61,6 +61,7 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep: tu
 
 
 def query(spark, sf_dir: str) -> DataFrame:
+    """Every document without the lines that ten documents share, as digests: nulls, repeated rows and empty tables as line_dedup() states."""
     out = line_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), min_docs=10, min_chars=1)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
 

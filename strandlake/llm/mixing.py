@@ -130,6 +130,7 @@ def mix(docs: DataFrame, target: float = 0.5, epochs: int = 2, seed: int = 3, we
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that a mixture of half of all tokens takes: nulls, repeated rows and empty tables as mix() states."""
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"), target=0.5, epochs=2).drop("row")
 
 

@@ -368,4 +368,5 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
 
 
 def query(spark, sf_dir: str) -> DataFrame:
+    """Every document's component at three words and 85 %: nulls, repeated rows and empty tables as near_duplicates() states."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=3, percent=85)

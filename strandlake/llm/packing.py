@@ -156,4 +156,5 @@ def pack(docs: DataFrame, tokenizer: str | None = None, size: int = 2048, end_id
 
 
 def query(spark, sf_dir: str) -> DataFrame:
+    """Every document's pieces in sequences of 2048 ids: nulls, repeated rows and empty tables as pack() states."""
     return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), size=2048)

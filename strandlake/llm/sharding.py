@@ -103,5 +103,6 @@ def shard(docs: DataFrame, shards: int = 16, vnodes: int = 64, slack: float = 0.
 
 
 def query(spark, sf_dir: str) -> DataFrame:
+    """Every document in one of 16 shards whose row counts differ by one at most: nulls, repeated rows and empty tables as shard() states."""
     out = shard(spark.read.parquet(f"{sf_dir}/documents.parquet"), shards=16)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "home_shard")
