@@ -370,3 +370,24 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
 def query(spark, sf_dir: str) -> DataFrame:
     """Every document's component at three words and 85 %: nulls, repeated rows and empty tables as near_duplicates() states."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=3, percent=85)
+
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+# two sets of which 100 * intersection >= 85 * union share one of the n - ceil(85 n / 100) + 1 rarest shingles of either, so only those are joined
+SQL = f"""
+WITH RECURSIVE words AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+sets AS (SELECT r, doc_id, list_sort(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END) AS s FROM words),
+placed AS (SELECT r, doc_id, len(s) AS n, s, min(r) OVER same AS class, min(doc_id) OVER same AS node FROM sets WHERE len(s) > 0 AND doc_id IS NOT NULL WINDOW same AS (PARTITION BY s)),
+classes AS (SELECT class, node, n, s FROM placed WHERE r = class),
+parts AS (SELECT class, n, unnest(s) AS k FROM classes),
+rare AS (SELECT class, n, k, row_number() OVER (PARTITION BY class ORDER BY f, k) AS place FROM (SELECT *, count(*) OVER (PARTITION BY k) AS f FROM parts)),
+first AS (SELECT class, n, k FROM rare WHERE place <= n - (85 * n + 99) // 100 + 1),
+pairs AS (SELECT DISTINCT a.class AS x, b.class AS y FROM first a JOIN first b ON a.k = b.k AND a.class < b.class AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)),
+shared AS (SELECT a.node AS u, b.node AS v, a.n + b.n AS total, len(list_intersect(a.s, b.s)) AS common FROM pairs JOIN classes a ON a.class = x JOIN classes b ON b.class = y),
+links AS (SELECT DISTINCT u, v FROM (SELECT u, v FROM shared WHERE 100 * common >= 85 * (total - common) UNION ALL SELECT v, u FROM shared WHERE 100 * common >= 85 * (total - common))),
+reached(node, low) AS (SELECT DISTINCT node, node FROM classes UNION SELECT v, low FROM reached JOIN links ON u = node WHERE low < v),
+tops AS (SELECT node, min(low) AS low FROM reached GROUP BY node),
+found AS (SELECT sets.doc_id, len(sets.s)::BIGINT AS n_shingles, coalesce(tops.low, sets.doc_id) AS component_id FROM sets LEFT JOIN placed USING (r) LEFT JOIN tops ON tops.node = placed.node)
+SELECT doc_id, n_shingles, component_id, coalesce(doc_id = component_id, true) AS kept FROM found
+"""

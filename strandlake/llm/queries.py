@@ -19,6 +19,7 @@ QUERIES = {
 
 SQL = {
     "op4_warc_boundary_chain": warc.SQL,
+    "op6_minhash_near_dedup": near_dedup.SQL,
     "op8_hierarchical_mixing": mixing.SQL,
     "op9_line_dedup": line_dedup.SQL,
 }

@@ -1,6 +1,7 @@
 import random
 from itertools import combinations
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -55,6 +56,15 @@ def test_matches_brute_force(make_docs, k, percent):
     assert sorted([tuple(r) for r in got.collect()], key=str) == brute(rows, k, percent)
 
 
+def test_sql_says_the_same(spark, tmp_path, make_docs):
+    rows = corpus(3) + [(1000 + i, t) for i, t in EDGES if i not in (None, 7)] + [(2000, "A b"), (2001, "a  B"), (2002, "a b c")]
+    make_docs(rows, clash=False).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = sorted(tuple(r) for r in nd.query(spark, str(tmp_path)).collect())
+    assert got == sorted(con.execute(nd.SQL).fetchall()) == sorted(brute(rows, 3, 85))
+
+
 def test_groups_of_several_chunks(make_docs, monkeypatch):
     monkeypatch.setattr(nd, "CHUNK", 8)
     rows = corpus(9)
