@@ -567,26 +567,51 @@ def cv_best_round(spark, sf_dir):
     return metrics.best_round(errors).select("best_round", F.round("accuracy", 9).alias("accuracy"), F.round("sd", 9).alias("sd"), "folds")
 
 
-# ---------------------------------------------------------------- sequential and learned stages (no SQL form; tested against unit cases)
+# ---------------------------------------------------------------- selection without replacement
+
+# turns (t, class, ks, q): in turn t, class takes the first q of ks that no turn before took
+_TURNS = """taken AS (SELECT 0::BIGINT AS t, ''::VARCHAR AS class, []::VARCHAR[] AS used, []::VARCHAR[] AS got UNION ALL
+SELECT t, class, list_concat(used, got), got FROM (SELECT u.t, u.class, p.used, list_filter(u.ks, lambda x: NOT list_contains(p.used, x))[1:u.q] AS got FROM taken p JOIN turns u ON u.t = p.t + 1)),
+picked AS (SELECT t, class, generate_subscripts(got, 1) AS i, unnest(got) AS kmer FROM taken)
+SELECT class, row_number() OVER (PARTITION BY class ORDER BY t, i)::INT AS pick_rank, kmer FROM picked"""
 
 
 def _rows(spark, chosen: motifs.Selection) -> DataFrame:
     return spark.createDataFrame(chosen.rows(), "class string, pick_rank int, kmer string")
 
 
-@query("select_motifs_case2")
+@query(
+    "select_motifs_case2",
+    f"""WITH RECURSIVE {_profiles(4).replace(_SEQS, _SEQS.replace("coalesce(lang, '?') AS class", "source AS class").replace("FROM documents", "FROM documents WHERE source IS NOT NULL"))}, {_MEMBERS},
+dom AS (SELECT cluster, arg_min(class, (-n, class)) AS class FROM m GROUP BY cluster),
+score AS (SELECT class, ord, kmer, sum(norm) AS score FROM prof JOIN dom USING (cluster) GROUP BY ALL),
+rk AS (SELECT class, kmer, row_number() OVER (PARTITION BY class ORDER BY round(score, 9) DESC, ord) AS rank FROM score QUALIFY rank <= 12),
+lists AS (SELECT class, list(kmer ORDER BY rank) AS ks, row_number() OVER (ORDER BY class) AS i, count(*) OVER () AS c FROM rk GROUP BY class),
+turns AS (SELECT i AS t, class, ks, 12 // c + CASE WHEN i <= 12 % c THEN 1 ELSE 0 END AS q FROM lists),
+{_TURNS}""",
+)
 def select_motifs_case2(spark, sf_dir):
     seqs = sequences(spark, sf_dir)
     profiles = motifs.cluster_profiles(seqs.join(labelled(spark, sf_dir).select("seq_id", "cluster"), "seq_id"), 4).cache()
     return _rows(spark, motifs.select_motifs(profiles, clusters.summary(labelled(spark, sf_dir)), 12, n_classes=4))
 
 
-@query("select_motifs_case3")
+@query(
+    "select_motifs_case3",
+    f"""WITH RECURSIVE {_profiles(4)},
+rk AS (SELECT cluster AS class, kmer, row_number() OVER (PARTITION BY cluster ORDER BY norm DESC, ord) AS rank FROM prof QUALIFY rank <= 64),
+lists AS (SELECT class, list(kmer ORDER BY rank) AS ks, row_number() OVER (ORDER BY class) AS i, count(*) OVER () AS m FROM rk GROUP BY class),
+turns AS (SELECT i AS t, class, ks, 64 // m AS q FROM lists UNION ALL SELECT m + i, class, ks, 1 FROM lists WHERE i <= 64 % m),
+{_TURNS}""",
+)
 def select_motifs_case3(spark, sf_dir):
     profiles = lang_profiles(spark, sf_dir, 4).cache()
     return _rows(spark, motifs.select_motifs(profiles, own_class(profiles), 64))
 
 
+# ---------------------------------------------------------------- sequential and learned stages (no SQL form; tested against plain versions)
+
+
 @query("segment_clusters_full")
 def segment_clusters_full(spark, sf_dir):
     """The full segmentation of each user's ordered events, one user a group."""

@@ -2,6 +2,7 @@ import math
 import random
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
@@ -525,6 +526,14 @@ def test_case2_query_equals_a_plain_one(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("name", ["select_motifs_case2", "select_motifs_case3"])
+def test_selection_sql_says_the_same(spark, name):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SMALL}/documents.parquet'")
+    got = catalog.QUERIES[name](spark, SMALL).select("class", "pick_rank", "kmer").collect()
+    assert sorted(tuple(r) for r in got) == sorted(con.execute(f"SELECT class, pick_rank, kmer FROM ({catalog.SQL[name]})").fetchall())
+
+
 def plain_linkage(x):
     """Ward's merges by trying all pairs of clusters: (members, members) from first to last."""
     groups = [[i] for i in range(len(x))]
