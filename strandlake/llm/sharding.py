@@ -14,6 +14,8 @@ from strandlake.llm._store import cut, pick
 CELLS = 4096
 #: Rows of a cell are counted in this many parts, by the CRC of their text, so that one repeated key does not meet in one task.
 PARTS = 8
+#: Slots of one repeated row are dealt in runs of this many, so that no array grows with the row's copies.
+RUN = 1 << 16
 
 
 def ring(shards: int, vnodes: int, cells: int = CELLS) -> list[int]:
@@ -85,8 +87,9 @@ def shard(docs: DataFrame, shards: int = 16, vnodes: int = 64, slack: float = 0.
     Returns doc_id, size (UTF-8 bytes plus 1; null text: none plus 1), text_crc32,
     shard, slot, home_shard (the ring's owner before loads are bounded).
 
-    A null doc_id hashes like any value.  Repeated rows have the same place and
-    are interchangeable.  Extra columns are ignored; an empty table gives an empty
+    A null doc_id hashes like any value.  Repeated rows are interchangeable: they
+    are counted before the shuffle, ranked as one, and take a range of ranks that
+    is dealt over shards and then slot by slot.  Extra columns are ignored; an empty table gives an empty
     one.  The driver holds one count for each of CELLS * PARTS ring parts, and
     that many rows and one more a shard are broadcast, at any input size.
     """
@@ -97,9 +100,16 @@ def shard(docs: DataFrame, shards: int = 16, vnodes: int = 64, slack: float = 0.
     rows = cut(rows.withColumn("place", place), "ring-rows")
     counts = {r[0]: r[1] for r in rows.groupBy("place").count().collect()}
     table = spark.createDataFrame(assign(counts, shards, vnodes, slack), "place int, first long, last long, shard int, base long, home_shard int")
-    ranked = rows.withColumn("k", F.row_number().over(Window.partitionBy("place").orderBy("h", "doc_id", "text_crc32", "size")) - 1)
-    joined = ranked.join(F.broadcast(table), (ranked["place"] == table["place"]) & (F.col("k") >= F.col("first")) & (F.col("k") < F.col("last")))
-    return joined.select("doc_id", "size", "text_crc32", "shard", (F.col("base") + F.col("k") - F.col("first")).alias("slot"), "home_shard")
+    # a row that occurs c times is one row here, with the ranks from k to k + c - 1
+    ranked = rows.groupBy("place", "h", "doc_id", "text_crc32", "size").agg(F.count("*").alias("c"))
+    before = Window.partitionBy("place").orderBy("h", "doc_id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = ranked.withColumn("k", F.coalesce(F.sum("c").over(before), F.lit(0)))
+    joined = ranked.join(F.broadcast(table), (ranked["place"] == table["place"]) & (F.col("k") < F.col("last")) & (F.col("k") + F.col("c") > F.col("first")))
+    shift = F.col("base") - F.col("first")
+    out = joined.select("doc_id", "size", "text_crc32", "shard", (F.greatest("k", "first") + shift).alias("begin"), (F.least(F.col("k") + F.col("c"), "last") + shift).alias("end"), "home_shard")
+    runs = out.select("*", F.explode(F.sequence("begin", F.col("end") - 1, F.lit(RUN).cast("long"))).alias("run"))
+    slots = F.sequence("run", F.least(F.col("run") + RUN, "end") - 1)
+    return runs.select("doc_id", "size", "text_crc32", "shard", F.explode(slots).alias("slot"), "home_shard")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -55,9 +55,12 @@ def test_law_and_slots(make_docs):
     assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == want
 
 
-def test_one_key_holds_most_rows(make_docs):
+@pytest.mark.parametrize("run", [7, 1 << 16])
+def test_one_key_holds_most_rows(make_docs, monkeypatch, run):
+    monkeypatch.setattr(sharding, "RUN", run)
     got = sharding.shard(make_docs([(5, "same")] * 600 + [(i, "x") for i in range(100)]), shards=4).collect()
-    assert sorted(Counter(r["shard"] for r in got).values()) == [175] * 4
+    assert sorted((r["shard"], r["slot"]) for r in got) == [(s, i) for s in range(4) for i in range(175)]
+    assert Counter(r["doc_id"] for r in got) == Counter({5: 601} | {i: 1 for i in range(100) if i != 5})
 
 
 def test_few_rows_move_when_a_shard_comes():
