@@ -119,19 +119,20 @@ def per_class(rows: DataFrame, r: float = 2, limit: int = MOST, seed: int = 123)
     return found.unionByName(rest.mapInPandas(partial(_nearest_in_class, points=points), shape))
 
 
-def two_stage(rows: DataFrame, r: float = 2, rest: str = "none") -> DataFrame:
+def two_stage(rows: DataFrame, r: float = 2, rest: str = "none", limit: int = MOST) -> DataFrame:
     """(id, class, cluster, exemplar_id, is_selected, is_exemplar) for rows (id, class, x) of a table of any size.
 
-    Exemplars of every class go through a second run together.  With rest "none",
+    Exemplars of every class go through a second run together; beyond ``limit``
+    of them, as sampled() does, so that each still gets a cluster.  With rest "none",
     rows that are no class's exemplar are not clustered (cluster null); with
     "follow" they go where the exemplar of their class went that per_class() gave
     them.  is_selected tells the rows that took part in the second run.
     """
     if rest not in ("none", "follow"):
         raise ValueError("rest must be 'none' or 'follow'")
-    first = per_class(rows, r)
-    chosen = rows.join(first.select(F.col("exemplar").alias("id")).distinct(), "id", "left_semi").select(F.lit(0).alias("all"), "id", "x")
-    final = chosen.groupBy("all").applyInPandas(partial(_final_stage, r=r), "id long, cluster int, exemplar_id long")
+    first = per_class(rows, r, limit)
+    chosen = rows.join(first.select(F.col("exemplar").alias("id")).distinct(), "id", "left_semi")
+    final = sampled(chosen.select("id", "class", "x").cache(), r, limit).select("id", "cluster", "exemplar_id")
     selected = F.col("own").isNotNull().alias("is_selected")
     if rest == "none":
         out = rows.select("id", "class").join(final, "id", "left").withColumn("own", F.col("cluster"))
@@ -152,7 +153,7 @@ def sampled(rows: DataFrame, r: float = 2, limit: int = MOST, seed: int = 123) -
     n = rows.count()
     part = rows
     if n > limit:
-        each = limit // max(1, rows.select("class").distinct().count())
+        each = max(1, limit // max(1, rows.select("class").distinct().count()))
         order = Window.partitionBy("class").orderBy(F.xxhash64("id", F.lit(seed)), "id")
         part = rows.withColumn("k", F.row_number().over(order)).where(F.col("k") <= each).drop("k")
     found = part.select(F.lit(0).alias("all"), "id", "x").groupBy("all").applyInPandas(partial(_final_stage, r=r), "id long, cluster int, exemplar_id long")

@@ -9,22 +9,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Occurrences that a task holds before it hands them on, in about.
+HELD = 1 << 16
 _FOUND = "motif string, sequence_name string, class string, position_start int, position_end int, sequence_length int"
 
 
+def _record(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows)) or [()] * 6
+    kinds = [pa.string()] * 3 + [pa.int32()] * 3
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=[x.split(" ")[0] for x in _FOUND.split(", ")])
+
+
 def _find(batches: Iterator[pa.RecordBatch], motifs: list[str], overlap: bool) -> Iterator[pa.RecordBatch]:
+    rows: list[tuple] = []
     for batch in batches:
-        for i in range(0, batch.num_rows, 256):
-            rows = []
-            for name, label, seq in zip(*(c.slice(i, 256).to_pylist() for c in batch.columns)):
-                for motif in motifs:
-                    at = seq.find(motif) if seq else -1
-                    while at >= 0:
-                        rows.append((motif, name, label, at + 1, at + len(motif), len(seq)))
-                        at = seq.find(motif, at + (1 if overlap else len(motif)))
-            cols = list(zip(*rows)) or [()] * 6
-            kinds = [pa.string()] * 3 + [pa.int32()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=[x.split(" ")[0] for x in _FOUND.split(", ")])
+        for i in range(batch.num_rows):
+            name, label, seq = (c[i].as_py() for c in batch.columns)
+            for motif in motifs:
+                at = seq.find(motif) if seq else -1
+                while at >= 0:
+                    rows.append((motif, name, label, at + 1, at + len(motif), len(seq)))
+                    if len(rows) >= HELD:
+                        yield _record(rows)
+                        rows = []
+                    at = seq.find(motif, at + (1 if overlap else len(motif)))
+    yield _record(rows)
 
 
 def find_motifs(seqs: DataFrame, motifs: list[str], overlap: bool = False) -> DataFrame:

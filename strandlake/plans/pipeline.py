@@ -56,13 +56,16 @@ def by_dendrogram(spark: SparkSession, counts: DataFrame, threshold: float, min_
     Clusters are found along the leaf order and belong to the rows at those
     leaves; ``positional`` attaches them to rows by input position instead.
     """
-    rows = sorted(counts.collect(), key=lambda r: r["seq_id"])
-    if len(rows) < 2:
+    rows = counts.select("seq_id", "class", "counts").toArrow()
+    if rows.num_rows < 2:
         raise ValueError("at least two sequences are needed")
-    tree = linkage.dendrogram(np.array([r["counts"] for r in rows], np.float64), [r["class"] for r in rows], [str(r["seq_id"]) for r in rows], metric, method)
+    order = np.argsort(rows["seq_id"].to_numpy(), kind="stable")
+    ids, classes = ([values[i] for i in order] for values in (rows["seq_id"].to_pylist(), rows["class"].to_pylist()))
+    x = np.concatenate([part.flatten().to_numpy(zero_copy_only=False) for part in rows["counts"].chunks]).reshape(len(ids), -1)
+    tree = linkage.dendrogram(x[order].astype(np.float64), classes, [str(i) for i in ids], metric, method)
     numbers = segment.assignment(tree.labels, threshold, min_size)
-    place = range(len(rows)) if positional else tree.order
-    return spark.createDataFrame([(rows[i]["seq_id"], rows[i]["class"], c) for i, c in zip(place, numbers)], "seq_id long, class string, cluster int"), tree
+    place = range(len(ids)) if positional else tree.order
+    return spark.createDataFrame([(ids[i], classes[i], c) for i, c in zip(place, numbers)], "seq_id long, class string, cluster int"), tree
 
 
 def by_dendrogram_all(spark: SparkSession, counts: DataFrame, threshold: float, min_size: int = 3, metric: str = "euclidean", method: str = "ward.D2", seed: int = 123, limit: int = linkage.MOST) -> tuple[DataFrame, linkage.Dendrogram]:

@@ -1,9 +1,11 @@
 import math
 import random
+import re
 from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -232,6 +234,17 @@ def test_search(spark):
     assert len(describe.occurrences(both).collect()) == 3
 
 
+@pytest.mark.parametrize("overlap", [False, True])
+def test_search_hands_on_in_parts(spark, monkeypatch, overlap):
+    monkeypatch.setattr(search, "HELD", 3)
+    texts = ["AAAAAAAA", "", "CATCATCAT", None, "GAAAC" * 5]
+    batch = pa.RecordBatch.from_pydict({"sequence_name": [f"s{i}" for i in range(5)], "class": ["x"] * 5, "seq": texts})
+    parts = list(search._find(iter([batch]), ["AAA", "CAT"], overlap))
+    want = [(m, f"s{i}", h.start() + 1) for i, t in enumerate(texts) for m in ("AAA", "CAT") for h in re.finditer(f"(?={m})" if overlap else m, t or "")]
+    assert max(p.num_rows for p in parts) == 3
+    assert [(r["motif"], r["sequence_name"], r["position_start"]) for p in parts for r in p.to_pylist()] == want
+
+
 def test_word_graph(spark):
     edges = graph.word_edges(seqs_of(spark, [("a", "x", "ACGTAC"), ("b", "x", "ACG"), ("c", "x", None)]), 2)
     assert sorted((r["src"], r["dst"]) for r in edges.collect()) == [("AC", "GT"), ("CG", "TA"), ("GT", "AC")]
@@ -404,6 +417,18 @@ def test_rows_follow_their_exemplars(spark):
         assert r["cluster"] == none[first[i]]["cluster"] and r["is_selected"] == none[i]["is_selected"] == (i in set(first.values()))
 
 
+def test_second_stage_beyond_the_limit(spark):
+    """More exemplars than the limit: each of them still gets a cluster, and so does each row that follows one."""
+    rng = np.random.default_rng(5)
+    rows = [(i, "AB"[i % 2], [float(v) for v in rng.normal(30 * (i % 6), 1, 3)]) for i in range(90)]
+    df = spark.createDataFrame(rows, "id long, class string, x array<double>")
+    exemplars = {r["exemplar"] for r in ap.per_class(df, limit=4).collect()}
+    none = {r["id"]: r for r in ap.two_stage(df, limit=4).collect()}
+    assert set(none) == set(range(90)) and {i for i, r in none.items() if r["is_selected"]} == exemplars
+    assert all(r["cluster"] is not None for r in ap.two_stage(df, rest="follow", limit=4).collect())
+    assert ap.two_stage(df.limit(0)).collect() == []
+
+
 def test_rounds_are_searched(spark):
     """Errors after each round equal those of models that were fitted with so many rounds, and the first best one is used."""
     rng = random.Random(2)
