@@ -300,7 +300,7 @@ def pairwise_euclidean(spark, sf_dir):
 
 @query("pairwise_manhattan", _PAIR.format(f"list_sum({_GAPS})", "d"))
 def pairwise_manhattan(spark, sf_dir):
-    return distance.pairwise(vectors(spark, sf_dir), "manhattan").select("i", "j", F.round("d", 4).alias("d"))
+    return distance.pairwise(vectors(spark, sf_dir), "manhattan", digits=4)
 
 
 @query("pairwise_maximum", _PAIR.format(f"list_max({_GAPS})", "d"))

@@ -122,6 +122,43 @@ def test_pairs_over_blocks(spark, monkeypatch):
     assert len(got) == 91 and all(abs(v - full[k]) < 1e-12 for k, v in got.items())
 
 
+def moved(spark):
+    """Rows that were written to shuffles so far."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty()
+    stages = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+
+def test_pairs_shuffle_each_row_a_fixed_number_of_times(spark, monkeypatch):
+    monkeypatch.setattr(distance, "BLOCK", 5)
+    df = spark.createDataFrame([(i, [float(i)]) for i in range(200)], "id long, x array<double>")
+    before = moved(spark)
+    assert len(distance.pairwise(df).collect()) == 19900
+    assert 0 < moved(spark) - before <= 3 * 200
+
+
+@pytest.mark.parametrize("metric,size", [("euclidean", lambda g: math.sqrt(sum(x * x for x in g))), ("manhattan", sum), ("maximum", max)])
+def test_pairs_over_parts_and_tiles(spark, monkeypatch, metric, size):
+    for name, value in {"BLOCK": 4, "HELD": 200, "TILE": 3, "OUT": 5}.items():
+        monkeypatch.setattr(distance, name, value, raising=False)
+    # ids out of order, below 0, twice and null
+    ids = [5, -3, 9, 0, 9, 2, 40, 7, None, 1 << 40, -(1 << 40), 8, 3, 6]
+    df = spark.createDataFrame([(i, p.tolist()) for i, p in zip(ids, points)], "id long, x array<double>")
+    got = sorted(tuple(r) for r in distance.pairwise(df, metric).collect())
+    want = sorted((i, j, size(abs(a - b).tolist())) for i, a in zip(ids, points) for j, b in zip(ids, points) if i is not None and j is not None and i < j)
+    assert [r[:2] for r in got] == [r[:2] for r in want] and [r[2] for r in got] == pytest.approx([r[2] for r in want])
+
+
+def test_pairs_of_few_rows(spark):
+    df = spark.createDataFrame([(1, [0.0]), (2, [0.00005]), (3, [float("nan")]), (4, [float("inf")])], "id long, x array<double>")
+    assert distance.pairwise(df.limit(0), "manhattan").collect() == distance.pairwise(df.limit(1), "manhattan").collect() == []
+    assert [str(r["d"]) for r in distance.pairwise(df, "manhattan", digits=4).orderBy("i", "j").collect()] == ["0.0001", "nan", "inf", "nan", "inf", "nan"]
+    assert [r["d"] for r in distance.pairwise(df.where("id < 3"), "manhattan").collect()] == [0.00005]
+    with pytest.raises(ValueError, match="metric"):
+        distance.pairwise(df, "cosine")
+
+
 def test_affinity_propagation(spark):
     rng = np.random.default_rng(1)
     x = np.concatenate([rng.standard_normal((15, 2)) * 0.3 + c for c in ((0, 0), (8, 0), (0, 8))])
