@@ -26,8 +26,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def slices(column: pa.Array):
-    """(first row, bytes, offsets) for runs of rows of about SLICE_BYTES; nulls read as empty."""
+def slices(column: pa.Array, limit: int = SLICE_BYTES):
+    """(first row, bytes, offsets) for runs of rows of about limit bytes; nulls read as empty."""
     if column.null_count:
         column = pc.fill_null(column, "")
     wide = column.type in (pa.large_string(), pa.large_binary())
@@ -36,7 +36,7 @@ def slices(column: pa.Array):
     data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     row = 0
     while row < len(column):
-        end = int(np.searchsorted(offsets, offsets[row] + SLICE_BYTES, "right")) - 1
+        end = int(np.searchsorted(offsets, offsets[row] + limit, "right")) - 1
         end = min(max(end, row + 1), len(column))
         yield row, data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
         row = end

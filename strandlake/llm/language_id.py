@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from strandlake.llm._memory import released
 from strandlake.llm._store import cut, drop, pick, spread
 from strandlake.llm._text import LOWER, slices
 
@@ -155,6 +156,7 @@ def _fit_tiles(task: pd.DataFrame, wide: dict[int, int], places: dict[str, int])
     return pd.DataFrame(out, columns=["a", "b", "w"])
 
 
+@released
 def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row, data, offsets in slices(batch.column(1)):
@@ -198,8 +200,9 @@ def fit(labelled: DataFrame, seed: int = 7) -> Model:
             names = sorted(name for h, name in places if h == g)
             wide[g] = max(1, len(names) // 8)
             places |= {(g, name): i for i, name in enumerate(names)}
-        # about eight rows for each language: as small as the list of languages
-        tasks = labelled.sparkSession.createDataFrame(sides, "lang string, name string, g int, first int, second int")
+        # about eight rows for each language: as small as the list of languages; from Arrow, since rows of Python objects would start workers of another kind, which stay
+        fields = pa.schema([("lang", pa.string()), ("name", pa.string()), ("g", pa.int32()), ("first", pa.int32()), ("second", pa.int32())])
+        tasks = labelled.sparkSession.createDataFrame(pa.table(list(zip(*sides)), schema=fields))
         made = table.join(F.broadcast(tasks), "lang").groupBy("g", "first", "second").applyInPandas(partial(_fit_tiles, wide=wide, places={name: i for (_, name), i in places.items()}), "a string, b string, w binary")
         at = {p: i for i, p in enumerate(pairs)}
         for a, b, w in made.collect():
@@ -212,6 +215,7 @@ def _letterless(text: bytes) -> bool:
     return not any(c.isalpha() for c in text.decode("utf-8", "replace"))
 
 
+@released
 def _predict_batches(batches: Iterator[pa.RecordBatch], model: Model, at: int) -> Iterator[pa.RecordBatch]:
     ascii_letter = _LETTER.copy()
     ascii_letter[128:] = False

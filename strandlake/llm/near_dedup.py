@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.llm._graph import components
+from strandlake.llm._memory import released
 from strandlake.llm._store import cut, pick, scratch, small_or_shuffled, spread
 from strandlake.llm._text import mix, shingle_sets, slices
 
@@ -120,6 +121,7 @@ def _prints(h: np.ndarray, bounds: np.ndarray) -> list[pa.Array]:
     return [pa.array(x.view(np.int64)) for x in out]
 
 
+@released
 def _sign_batches(batches: Iterator[pa.RecordBatch], k: int, bands: int) -> Iterator[pa.RecordBatch]:
     m = bands * BAND_ROWS
     for batch in batches:
@@ -134,6 +136,7 @@ def _sign_batches(batches: Iterator[pa.RecordBatch], k: int, bands: int) -> Iter
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, n), pa.array(np.diff(bounds)), *_prints(h, bounds), lists], names=["doc_id", "n_shingles", "f1", "f2", "bands"])
 
 
+@released
 def _set_batches(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row, data, offsets in slices(batch.column(1)):

@@ -13,12 +13,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandlake.llm._memory import released
 from strandlake.llm._store import cut, pick
 from strandlake.llm._text import slices
 from strandlake.llm.tokens import WordTokenizer
 
 #: Pieces that are packed together, about; every such group leaves a few sequences that are not full.
 GROUP = 1 << 16
+#: Text bytes that are tokenized at once; arrays of word bounds take many times as much.
+SLICE_BYTES = 1 << 20
 
 
 def default_tokenizer() -> str:
@@ -30,10 +33,11 @@ def default_tokenizer() -> str:
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+@released
 def _piece_batches(batches: Iterator[pa.RecordBatch], tokenizer: str, size: int, end_id: int) -> Iterator[pa.RecordBatch]:
     words = WordTokenizer.load(tokenizer)
     for batch in batches:
-        for row, data, offsets in slices(batch.column(1)):
+        for row, data, offsets in slices(batch.column(1), SLICE_BYTES):
             out: list[tuple[int, int, int, int, int]] = []
             for i, ids in enumerate(words.encode(data, offsets)):
                 ids = np.append(ids, np.uint32(end_id)).astype("<u4")

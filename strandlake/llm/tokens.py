@@ -17,7 +17,7 @@ import numpy as np
 from strandlake.llm._text import LOWER, span_hashes, spans
 
 #: Distinct words that a worker remembers; beyond, it starts anew, which costs time only.
-REMEMBERED = 3_000_000
+REMEMBERED = 500_000
 
 # bytes of the plain path: space, tab, newline, carriage return; letters; digits; other printable ASCII but the apostrophe
 _SPACE, _LETTER, _DIGIT, _MARK, _ODD = range(5)
