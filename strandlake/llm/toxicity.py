@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandlake.llm._memory import released
 from strandlake.llm._store import cut, pick, spread
 from strandlake.llm._text import slices
 
@@ -62,7 +63,7 @@ _NOISE = frozenset(LEET) | frozenset(MASKS) | frozenset(LOOKS)
 #: Longer stretches are decoded in parts of so many characters, each of which overlaps the last by half.
 PART = 64
 #: Distinct tokens that a worker remembers; beyond, it starts anew, which costs time only.
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 
 
 @dataclass(frozen=True)
@@ -222,6 +223,7 @@ class Reader:
         return out
 
 
+@released
 def _trigram_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(_SYMBOLS**3, np.int64)
     for batch in batches:
@@ -250,6 +252,7 @@ def language_model(texts: DataFrame) -> LanguageModel:
     return LanguageModel.of(counts)
 
 
+@released
 def _count_batches(batches: Iterator[pa.RecordBatch], model: LanguageModel) -> Iterator[pa.RecordBatch]:
     reader, seen = Reader(model), (Counter(), Counter())
     for batch in batches:
@@ -259,6 +262,7 @@ def _count_batches(batches: Iterator[pa.RecordBatch], model: LanguageModel) -> I
     yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([seen[1][x] for x in names], pa.int64())], names=["feature", "pos"])
 
 
+@released
 def _match_batches(batches: Iterator[pa.RecordBatch], model: LanguageModel, names: dict[str, int]) -> Iterator[pa.RecordBatch]:
     reader = Reader(model, frozenset(names))
     for batch in batches:
@@ -342,6 +346,7 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = 5) -> Classifier:
 _readers: dict[str, Reader] = {}
 
 
+@released
 def _score_batches(batches: Iterator[pa.RecordBatch], model: Classifier, key: str) -> Iterator[pa.RecordBatch]:
     if key not in _readers:
         _readers.clear()

@@ -30,6 +30,16 @@ run(5)
 words = packing.WordTokenizer.load(packing.default_tokenizer())
 print(held() - began, len(words.known))
 """
+TOXICITY = """
+import numpy as np
+from strandlake.llm import toxicity as tox
+model = tox.Classifier(tox.LanguageModel.of(np.ones(28**3)), {"stupid": 0}, np.array([4.0]), -3.0)
+run = lambda n: sum(b.num_rows for b in tox._score_batches(texts(n), model, "job"))
+run(0)
+began = held()
+run(2)
+print(held() - began, len(tox._readers["job"].known))
+"""
 
 
 def idle(code):
@@ -42,6 +52,11 @@ def test_idle_packing_workers_hold_little():
     assert more < 60 and words <= 500_000
 
 
+def test_idle_scoring_workers_hold_little():
+    more, tokens = idle(TOXICITY)
+    assert more < 60 and tokens <= 500_000
+
+
 def test_batches_pass_through_released():
     def twice(batches, times):
         for batch in batches:
